@@ -8,8 +8,9 @@ a fractional inclusion probability. The cube method settles the fractions. Fligh
 leaves both totals (tokens and documents) as they are lies in the null space of two equations, which is their cross
 product; the step goes to one of the two faces of the cube, by lot weighted so that no document's probability changes on
 average. Each step settles a document. Flights run in blocks of a source, so a source of any size is dealt over many
-tasks; what a block leaves (two documents, or three of them) goes to the next round's blocks. Landing: the few documents
-left of each source give up the document total, then the last one is rounded.
+tasks; what a block leaves (two documents) goes to the next round's blocks. Landing, in a source's last block: the
+document total is given up, the last document is rounded, and while it helps, the document whose draw turned round
+brings the source's tokens nearest to what its probabilities promised is turned round.
 
 Lots are hashes of (seed, round, source, block), so reruns agree.
 """
@@ -20,6 +21,7 @@ import hashlib
 import random
 from itertools import cycle
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +54,11 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, mo
     return out
 
 
-def flight(prob: list[float], size: list[float], lot: random.Random, down_to: int = 2) -> list[float]:
-    """Moves probabilities until ``down_to`` of them at most are fractions; sums of prob * size and of prob stay."""
+def flight(prob: list[float], size: list[float], lot: random.Random) -> tuple:
+    """Moves probabilities until two of them at most are fractions; sums of prob * size and of prob stay.
+
+    Returns the probabilities, the places of the fractions, and the step that moves them along a direction.
+    """
     prob = list(prob)
     open_: list[int] = []
 
@@ -89,13 +94,27 @@ def flight(prob: list[float], size: list[float], lot: random.Random, down_to: in
             open_ = move(open_, step)
         if len(open_) == 2 and size[open_[0]] == size[open_[1]]:
             open_ = move(open_, [1.0, -1.0])
-    while len(open_) > down_to:  # the landing: tokens only
+    return prob, open_, move
+
+
+def land(prob: list[float], size: list[float], lot: random.Random) -> list[float]:
+    """A flight, and a landing on whole draws whose tokens come near to sum(prob * size)."""
+    due = sum(p * s for p, s in zip(prob, size, strict=True))
+    prob, open_, move = flight(prob, size, lot)
+    if len(open_) == 2:
         a, b = (max(size[k], _EPS) for k in open_)
         open_ = move(open_, [min(a, b) / a, -min(a, b) / b])
-    if len(open_) > down_to - 1 and down_to < 2:
-        for i in open_:
-            prob[i] = 1.0 if lot.random() < prob[i] else 0.0
-    return prob
+    for i in open_:
+        prob[i] = 1.0 if lot.random() < prob[i] else 0.0
+    drawn, sizes = np.array(prob), np.array(size)
+    while len(sizes):
+        off = (drawn * sizes).sum() - due
+        turned = np.abs(off + np.where(drawn > 0, -sizes, sizes))
+        best = int(turned.argmin())
+        if turned[best] >= abs(off) - _EPS:
+            break
+        drawn[best] = 1 - drawn[best]
+    return drawn.tolist()
 
 
 def lot(*key) -> random.Random:
@@ -111,7 +130,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     """
     spark = documents.sparkSession
     path = common.shared_dir(spark)
-    thin = common.materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), f"{path}/sizes")
+    thin = common.materialise(documents.select(common.order_id("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), f"{path}/sizes")
     by = {r.source: r for r in thin.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
     goal = targets({s: r["size"] for s, r in by.items()}, weights, most)
     plan = [(s, int(r["size"]), float(goal[s]), goal[s] / r["size"] if r["size"] else 0.0) for s, r in by.items()]
@@ -121,14 +140,14 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     def settle(frame: DataFrame, k: int, most_rows: int) -> DataFrame:
         """Rows (source, doc_id, size, prob, n) after a flight in each block; n is the number of repeated rows."""
         last = most_rows <= block
-        down = 1 if last else 2
         blocks = max(1, -(-most_rows // block))
         spread = frame.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "n", F.lit(seed + k)), F.lit(blocks)).cast("int"))
 
         def fly(pdf):
             pdf = pdf.sort_values(["doc_id", "size", "n"], kind="stable", na_position="last").reset_index(drop=True)
             source = None if pdf.source.isna().iloc[0] else pdf.source.iloc[0]
-            pdf["prob"] = flight(pdf.prob.tolist(), pdf["size"].tolist(), lot(seed, k, source, int(pdf.part.iloc[0])), down)
+            args = pdf.prob.tolist(), pdf["size"].tolist(), lot(seed, k, source, int(pdf.part.iloc[0]))
+            pdf["prob"] = land(*args) if last else flight(*args)[0]
             return pdf[["source", "doc_id", "size", "n", "prob"]]
 
         return spread.groupBy("source", "part").applyInPandas(fly, "source string, doc_id long, size long, n long, prob double")
@@ -155,7 +174,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     copies = F.col("whole") + F.when(F.col("n") <= F.coalesce("drawn", F.lit(0)), 1).otherwise(0)
     each = joined.select("r.*", "drawn", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("n"))
     copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("long")
-    return each.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return each.select(F.nullif("doc_id", F.lit(common.LAST_ID)).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
