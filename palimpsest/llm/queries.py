@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup
+from palimpsest.llm import exact_dedup, langid, mixing, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_langid": langid.op7_langid,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
