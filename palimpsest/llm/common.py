@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,29 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Rows of one key above which a lookup is salted.
+HOT_KEY = 10_000
+
+
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, path: str, by: str = "doc_id") -> DataFrame:
+    """``rows`` inner joined with ``table`` (one row a key) on ``key``; keys of over ``HOT_KEY`` rows are salted
+    by the column ``by``.
+
+    At most len(rows) / HOT_KEY keys are hot, each gets as many salts as it has HOT_KEY rows; so the salted copies of
+    ``table`` add len(rows) / HOT_KEY rows at most.
+    """
+    hot = rows.groupBy(key).count().where(F.col("count") > HOT_KEY).select(key, F.ceil(F.col("count") / HOT_KEY).cast("int").alias("salts"))
+    hot = materialise(hot, f"{path}-hot")
+    if hot.isEmpty():
+        return rows.join(table, key)
+    marked = table.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    widest = hot.agg(F.max("salts")).first()[0]
+    # A row doesn't know its key's salts; it takes a number below the widest, folded where its key is hot.
+    few = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    spread = rows.withColumn("salt0", F.pmod(F.xxhash64(by), F.lit(widest)).cast("int")).join(few, key, "left").withColumn("salt", F.coalesce(F.col("salt0") % F.col("salts"), F.lit(0))).drop("salt0", "salts")
+    return spread.join(marked, [key, "salt"]).drop("salt")
+
+
 # --- tokenizing -------------------------------------------------------------------------------------------------
 
 #: Characters whose classes (letter, digit, white space) no version of Unicode disputes. Texts with others take the
@@ -67,17 +92,15 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tok = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
-        import json
-
         pre = json.loads(self._tok.to_str())["pre_tokenizer"] or {}
         self._split = None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self._split = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}
         self._most = words
 
-    def _library(self, text: str) -> list[int]:
-        return self._tok.encode(text, add_special_tokens=False).ids
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -89,30 +112,34 @@ class Encoder:
             at = cut.start()
         yield text[at:]
 
-    def pieces(self, text: str | None) -> Iterator[list[int]]:
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in set(words) if w not in self._known]
+        if len(self._known) + len(new) > self._most:
+            self._known.clear()
+            new = list(set(words))
+        for w, e in zip(new, self._tok.encode_batch(new, add_special_tokens=False), strict=True):
+            self._known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def pieces(self, text: str | None) -> Iterator[np.ndarray]:
         """The ids of one text, in pieces that follow each other; null counts as empty."""
         if not text:
             return
         if self._split is None or not _PLAIN.fullmatch(text) or any(s in text for s in self._special):
             yield self._library(text)
             return
-        known = self._known
         for piece in self._pieces(text):
             words = self._split(piece)
-            new = [w for w in set(words) if w not in known]
-            if new:
-                if len(known) + len(new) > self._most:
-                    known.clear()
-                    new = list(set(words))
-                for w, e in zip(new, self._tok.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[w] = tuple(e.ids)
-            out: list[int] = []
-            for w in words:
-                out += known[w]
-            yield out
-
-    def encode(self, text: str | None) -> list[int]:
-        return [i for piece in self.pieces(text) for i in piece]
+            try:
+                ids = b"".join(map(self._known.__getitem__, words))
+            except KeyError:
+                self._learn(words)
+                ids = b"".join(map(self._known.__getitem__, words))
+            yield np.frombuffer(ids, "<u4")
+
+    def encode(self, text: str | None, end: int | None = None) -> np.ndarray:
+        """All ids of one text, then ``end`` if it is given."""
+        parts = [*self.pieces(text), *([] if end is None else [np.array([end], "<u4")])]
+        return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -129,14 +156,3 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def batches(rows: Iterable, most: int) -> Iterator[list]:
-    got: list = []
-    for r in rows:
-        got.append(r)
-        if len(got) >= most:
-            yield got
-            got = []
-    if got:
-        yield got

@@ -158,12 +158,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Profiles:
     """Profiles from the labelled documents outside the held-out fifth, ``sample_docs`` a language at most.
 
-    The sample is the documents of the smallest hashed ids, so it doesn't depend on how the table is dealt. Only the
+    The sample is documents of small hashed ids, so it doesn't depend on how the table is dealt. Only the
     profiles, TOP n-grams a language, reach the driver.
     """
     labelled = documents.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"))
+    # Hashes low enough to leave a few times the sample, so a language of any size sends a bounded number of rows.
+    counts = labelled.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * sample_docs / F.count(F.lit(1))).alias("share"))
+    lot = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
+    some = labelled.join(F.broadcast(counts), "lang").where(lot <= F.col("share"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("doc_id", F.col("lang").alias("label"))
+    chosen = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("doc_id", F.col("lang").alias("label"))
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("label", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -264,31 +264,9 @@ def near_dedup(documents: DataFrame, blocks: int | None = None) -> DataFrame:
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"), (F.count(F.lit(1)) > 1).alias("linked"))
     by_print = named.join(lows, "root").select("fp", "component_id", "linked")
     # Copies of one text share a fingerprint: they are dealt by a salt, and the fingerprint's row goes to each salt.
-    out = salted_lookup(prints, by_print, "fp", f"{path}/by-print")
+    out = common.salted_lookup(prints, by_print, "fp", f"{path}/by-print")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "linked")
 
 
-#: Rows of one key above which a lookup is salted.
-HOT_KEY = 10_000
-
-
-def salted_lookup(rows: DataFrame, table: DataFrame, key: str, path: str) -> DataFrame:
-    """``rows`` inner joined with ``table`` (one row a key) on ``key``; keys of over ``HOT_KEY`` rows are salted.
-
-    At most len(rows) / HOT_KEY keys are hot, each gets as many salts as it has HOT_KEY rows; so the salted copies of
-    ``table`` add len(rows) / HOT_KEY rows at most.
-    """
-    hot = rows.groupBy(key).count().where(F.col("count") > HOT_KEY).select(key, F.ceil(F.col("count") / HOT_KEY).cast("int").alias("salts"))
-    hot = common.materialise(hot, f"{path}-hot")
-    if hot.isEmpty():
-        return rows.join(table, key)
-    marked = table.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    widest = hot.agg(F.max("salts")).first()[0]
-    # A row doesn't know its key's salts; it takes a number below the widest, folded where its key is hot.
-    few = F.broadcast(hot) if hot.count() <= 100_000 else hot
-    spread = rows.withColumn("salt0", F.pmod(F.xxhash64("doc_id"), F.lit(widest)).cast("int")).join(few, key, "left").withColumn("salt", F.coalesce(F.col("salt0") % F.col("salts"), F.lit(0))).drop("salt0", "salts")
-    return spread.join(marked, [key, "salt"]).drop("salt")
-
-
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
