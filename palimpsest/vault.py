@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.patterns import path_matches
 from palimpsest.functions.paths import is_hash
-from palimpsest.model import ENTRY_COLS, LEAF_SIZE, ZERO_HASH
-from palimpsest.operators import diff, guard, history, merge, tree
+from palimpsest.model import ENTRY_COLS, HISTORY_LIMIT, LEAF_SIZE, STATS_LIMIT, ZERO_HASH
+from palimpsest.operators import diff as diffs
+from palimpsest.operators import guard, merge, tree
+from palimpsest.operators import history as versions
 
 ROOTS = "root_hash string, parent_hash string, created_ms long, version int, device_id string, total_files long"
 TABLES = {"roots": ROOTS, "prefixes": "root_hash string, prefix string, prefix_hash string, leaves long, files long", "entries": "path string, hash string, mtime_ms long, size_bytes long, root_hash string, prefix string", "blobs": "hash string, data binary", "current": "seq long, root_hash string"}
@@ -124,7 +126,7 @@ class Vault:
     def _guarded(self, current: str, candidate: str, device: str) -> str | None:
         if self.guard_mode == "off":
             return None
-        changed = diff.changed_prefixes(self.prefixes(current), self.prefixes(candidate))
+        changed = diffs.changed_prefixes(self.prefixes(current), self.prefixes(candidate))
         total = self._table("roots").where(F.col("root_hash") == current).first().total_files
         limits = {k: v for k, v in self.guard_limits.items() if k != "skew_ms"}
         skew = {k: v for k, v in self.guard_limits.items() if k == "skew_ms"}
@@ -161,18 +163,18 @@ class Vault:
         """What a device at ``from_root`` (null or zeros: nothing) must do to be at a version; reads differing prefixes."""
         to_root = to_root or self.current()
         if from_root == to_root:
-            return diff.compute_deltas(self.entries(None), self.entries(None))
-        changed = diff.changed_prefixes(self.prefixes(from_root), self.prefixes(to_root))
-        return diff.compute_deltas(self.entries(from_root), self.entries(to_root), prefixes=changed)
+            return diffs.compute_deltas(self.entries(None), self.entries(None))
+        changed = diffs.changed_prefixes(self.prefixes(from_root), self.prefixes(to_root))
+        return diffs.compute_deltas(self.entries(from_root), self.entries(to_root), prefixes=changed)
 
-    def history(self, limit: int | None = history.HISTORY_LIMIT) -> DataFrame:
-        return history.history(self.roots(), self.current(), limit)
+    def history(self, limit: int | None = HISTORY_LIMIT) -> DataFrame:
+        return versions.history(self.roots(), self.current(), limit)
 
-    def version_stats(self, limit: int = history.STATS_LIMIT) -> DataFrame:
-        return history.version_stats(self.roots(), self._table("entries"), limit)
+    def version_stats(self, limit: int = STATS_LIMIT) -> DataFrame:
+        return versions.version_stats(self.roots(), self._table("entries"), limit)
 
     def lineage(self, root: str | None = None) -> DataFrame:
-        return history.lineage(self.roots(), root or self.current())
+        return versions.lineage(self.roots(), root or self.current())
 
     def rollback(self, root: str) -> None:
         """Makes a version of the history current, without the guard."""
