@@ -25,7 +25,18 @@ def path_cells(paths: DataFrame, cells: int) -> Column:
     picked = [] if n < 2 * cells else sorted(r.path for r in paths.where(F.pmod(F.xxhash64("path"), F.lit(step)) == 0).select("path").collect())
     if not picked:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(p) for p in picked]), lambda p: p <= F.col("path")))
+    # by code point, as Spark orders strings; a binary search, so many cells cost no more than few
+    edges = [p.encode() for p in picked]
+
+    @F.pandas_udf("int")
+    def cell(path):
+        import bisect
+
+        import pandas as pd
+
+        return pd.Series([bisect.bisect_right(edges, p.encode()) for p in path], dtype="int32")
+
+    return cell("path")
 
 
 def leaf_numbers(entries: DataFrame, leaf_size: int = LEAF_SIZE, cells: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from palimpsest.session import builder
 
-    session = builder("local[4]", 4).config("spark.driver.memory", "4g").appName("tests").getOrCreate()
+    session = builder("local[4]", 2).config("spark.driver.memory", "4g").config("spark.default.parallelism", "2").appName("tests").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

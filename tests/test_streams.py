@@ -1,4 +1,5 @@
 import json
+import os
 import time
 
 from conftest import rows
@@ -9,9 +10,9 @@ from palimpsest.streaming import presence as streams
 
 
 def drain(stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(90)
     finally:
         q.stop()
 
@@ -21,6 +22,7 @@ def source(spark, tmp_path, name, schema, *batches):
     d.mkdir()
     for i, batch in enumerate(batches):
         (d / f"{i}.json").write_text("\n".join(json.dumps(r) for r in batch))
+        os.utime(d / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken in the order of their times
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(d))
 
 
@@ -31,28 +33,39 @@ def test_touches_agree_with_the_batch_form(spark, tmp_path):
     assert rows(spark.table("touches")) == rows(batch) == [("a", 0), ("a", 30_000), ("a", 61_000), ("b", 5)]
 
 
-def test_presence_frames(spark, tmp_path):
-    schema = "vault string, device string, name string, file string, state string, updated_ms long, seq long"
-    row = lambda d, s, t, f=None: {"vault": "v", "device": d, "name": d, "file": f, "state": s, "updated_ms": t, "seq": t}
-    stream = source(spark, tmp_path, "p", schema, [row("a", "active", 1, "x"), row("a", "idle", 2), row("b", "active", 1)], [row("b", "offline", 3)])
-    drain(streams.presence_stream(stream, 3_600_000), "presence", "update")
-    got = rows(spark.table("presence"), "device", "state", "updated_ms")
-    assert got == [("a", "idle", 2), ("b", "active", 1), ("b", "offline", 3)]
+PRESENCE = "vault string, device string, name string, file string, state string, updated_ms long, seq long"
 
 
-def test_presence_expires(spark, tmp_path):
-    schema = "vault string, device string, name string, file string, state string, updated_ms long, seq long"
-    first = {"vault": "v", "device": "a", "name": "a", "file": "x", "state": "active", "updated_ms": 1, "seq": 1}
-    stream = streams.presence_stream(source(spark, tmp_path, "e", schema, [first]), 1_000)
-    q = stream.writeStream.format("memory").queryName("expiry").outputMode("update").trigger(processingTime="500 milliseconds").start()
+def settle(stream, name, want, *columns):
+    """Runs the stream until its rows are ``want``; timers keep such a query from ever being done by itself."""
+    q = stream.writeStream.format("memory").queryName(name).outputMode("update").trigger(processingTime="300 milliseconds").start()
     try:
-        for _ in range(60):
-            if rows(spark.table("expiry"), "state") == [("active",), ("offline",)]:
+        for _ in range(120):
+            if q.exception() or rows(spark_of(stream).table(name), *columns) == want:
                 break
             time.sleep(0.5)
+        assert q.exception() is None
+        return rows(spark_of(stream).table(name), *columns)
     finally:
         q.stop()
-    assert rows(spark.table("expiry"), "state") == [("active",), ("offline",)]
+
+
+def spark_of(frame):
+    return frame.sparkSession
+
+
+def test_presence_frames(spark, tmp_path):
+    row = lambda d, s, t, f=None: {"vault": "v", "device": d, "name": d, "file": f, "state": s, "updated_ms": t, "seq": t}
+    stream = source(spark, tmp_path, "p", PRESENCE, [row("a", "active", 1, "x"), row("a", "idle", 2), row("b", "active", 1)], [row("b", "offline", 3)])
+    want = [("a", "idle", 2), ("b", "active", 1), ("b", "offline", 3)]
+    assert settle(streams.presence_stream(stream, 3_600_000), "presence", want, "device", "state", "updated_ms") == want
+
+
+def test_presence_expires(spark, tmp_path):
+    first = {"vault": "v", "device": "a", "name": "a", "file": "x", "state": "active", "updated_ms": 1, "seq": 1}
+    stream = streams.presence_stream(source(spark, tmp_path, "e", PRESENCE, [first]), 1_000)
+    want = [("active",), ("offline",)]
+    assert settle(stream, "expiry", want, "state") == want
 
 
 def test_bursts(spark, tmp_path):
