@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,37 +71,71 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, path: str, by: st
 
 #: Characters whose classes (letter, digit, white space) no version of Unicode disputes. Texts with others take the
 #: library's own path over the whole text.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ſ‐-‧]*")
+_LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u017f\u2010-\u2027]*")
+#: The words of a byte-level pre-tokenizer, over those characters.
+_WORDS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+").findall
 #: A place at which no token can span: a single space between two characters that are not white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PIECE = 1 << 18
 
 
+
+
+def _byte_level() -> str:
+    """The character for each byte in byte-level vocabularies: itself if it shows, else the next one from U+0100."""
+    shows = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in shows else next(hidden)) for b in range(256))
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+class _Known(dict):
+    """Ids of strings, as bytes. Of two generations the older is dropped when the younger is full, so words that go on
+    occurring stay and memory is bounded."""
+
+    def __init__(self, encode, most: int) -> None:
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts under a byte-level BPE file of the ``tokenizers`` library.
 
-    BPE works within the words that the file's pre-tokenizer finds, so each distinct word is encoded once by the
-    library and remembered (``words`` at most, then the memory starts afresh). Texts outside the plain character set,
-    or with a special token's string, are encoded whole by the library. Long texts go piece by piece, cut only where
-    no token can span, so memory follows the piece and not the text.
+    BPE works within the words that the file's pre-tokenizer finds, so each distinct word is encoded by the library and
+    remembered, in two generations of ``words`` words. Texts outside the plain character set, or with a special token's
+    string, are encoded whole by the library. Long texts go piece by piece, cut only where no token can span, so memory
+    follows the piece and not the text.
     """
 
-    def __init__(self, path: str, words: int = 300_000) -> None:
-        import regex
+    def __init__(self, path: str, words: int = 350_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tok = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         pre = json.loads(self._tok.to_str())["pre_tokenizer"] or {}
-        self._split = None
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self._split = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self._known: dict[str, bytes] = {}
-        self._most = words
+        self._model = self._tok.model
+        self._by_word = bool(pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
+        self._known = _Known(self._word, words)
+
+    def _library(self, text: str) -> list[int]:
+        return self._tok.encode(text, add_special_tokens=False).ids
 
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4")
+    def _word(self, word: str) -> bytes:
+        """The model's ids of one word, whose bytes are spelled in the pre-tokenizer's alphabet."""
+        return array("I", [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
 
     def _pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -112,29 +147,15 @@ class Encoder:
             at = cut.start()
         yield text[at:]
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in set(words) if w not in self._known]
-        if len(self._known) + len(new) > self._most:
-            self._known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self._tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self._known[w] = np.array(e.ids, "<u4").tobytes()
-
     def pieces(self, text: str | None) -> Iterator[np.ndarray]:
         """The ids of one text, in pieces that follow each other; null counts as empty."""
         if not text:
             return
-        if self._split is None or not _PLAIN.fullmatch(text) or any(s in text for s in self._special):
-            yield self._library(text)
+        if not self._by_word or not _PLAIN.fullmatch(text) or any(s in text for s in self._special):
+            yield np.array(self._library(text), "<u4")
             return
         for piece in self._pieces(text):
-            words = self._split(piece)
-            try:
-                ids = b"".join(map(self._known.__getitem__, words))
-            except KeyError:
-                self._learn(words)
-                ids = b"".join(map(self._known.__getitem__, words))
-            yield np.frombuffer(ids, "<u4")
+            yield np.frombuffer(b"".join(map(self._known.__getitem__, _WORDS(piece))), "=u4").astype("<u4", copy=False)
 
     def encode(self, text: str | None, end: int | None = None) -> np.ndarray:
         """All ids of one text, then ``end`` if it is given."""
