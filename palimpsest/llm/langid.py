@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
-TOP, SLICE = 300, 1 << 20
+TOP, SLICE = 300, 1 << 19
 #: Documents of each language that the profiles are fitted on: the bound of the labelled sample.
 SAMPLE_DOCS = 400
 #: Least score of a document that the pipeline keeps; texts below it resemble no learned language.
@@ -137,7 +137,23 @@ class Profiles:
         return cls(langs, grams, ranks)
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """For each text the nearest language and the score: one minus its share of the greatest distance."""
+        """For each text the nearest language and the score: one minus its share of the greatest distance.
+
+        Texts are counted a few at a time, by their length, so memory doesn't follow the number of texts.
+        """
+        pred, score, at = [], [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < SLICE):
+                size += len(texts[end] or "")
+                end += 1
+            some = self._judge(texts[at:end])
+            pred += some[0]
+            score.append(some[1])
+            at = end
+        return pred, np.concatenate(score) if score else np.empty(0)
+
+    def _judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         doc, gram, rank = ranked(*gram_counts(texts))
         n = np.bincount(doc, minlength=len(texts))
         if not self.langs:
@@ -175,7 +191,7 @@ def learn(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Profiles:
             of: dict[str, list[str]] = {}
             for lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 of.setdefault(lang, []).append(text)
-            for lang, own in of.items():
+            for lang, own in ((k, v[i : i + 64]) for k, v in of.items() for i in range(0, len(v), 64)):
                 _, gram, n = gram_counts(own)
                 gram, n = _tally(gram.view(np.uint64), n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
@@ -206,8 +222,14 @@ def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
 
 def keep_identified(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents, with their own columns, whose language is one of the learned."""
-    judged = identify(documents.select(*[F.col(f"`{c}`") for c in documents.columns]).withColumn("__text", F.col("text")), learn(documents))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*[F.col(f"`{c}`") for c in documents.columns])
+    profiles, place = learn(documents), documents.columns.index("text")
+
+    def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            pred, score = profiles.judge(part.column(place).to_pylist())
+            yield part.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:
