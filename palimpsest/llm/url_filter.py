@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -157,11 +156,16 @@ class UrlModel:
 
 
 def labelled_sample(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most: int = SAMPLE_URLS) -> list:
-    """Rows (url, host, verdict) of ``most`` urls at most that a rule decides: distinct, those of the smallest hashes."""
+    """Rows (url, host, verdict) of ``most`` urls at most that a rule decides: distinct, those of the smallest hashes.
+
+    Only hashes low enough to leave about twice the sample go on, so what is sorted and sent doesn't grow with the table.
+    """
     host, path = host_path(F.col("url"))
     _, verdict = ruled(host, path, rules)
-    rows = pages.select("url", host.alias("host"), verdict.alias("verdict")).where("verdict IS NOT NULL").distinct()
-    return rows.orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    rows = pages.select("url", host.alias("host"), verdict.alias("verdict")).where("verdict IS NOT NULL")
+    share = 2.0 * most / max(1, rows.count())
+    some = rows if share >= 1 else rows.where(F.shiftrightunsigned(F.xxhash64("url"), 11) / F.lit(2.0**53) < share)
+    return some.distinct().orderBy(F.xxhash64("url"), "url").limit(most).collect()
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_urls: int = SAMPLE_URLS) -> DataFrame:
