@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm import common
 
 WINDOW, END = 2048, 1
 _PIECES = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 #: Bytes of ids that a task gathers before it hands them on.
-_HELD = 8 << 20
+_HELD = 2 << 20
 
 
 def cut_pieces(documents: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end: int = END, path: str | None = None) -> DataFrame:
@@ -166,7 +167,7 @@ def sequences(placed: DataFrame, window: int = WINDOW, pad: int = 0) -> DataFram
     return rows.select("sequence_id", join("p").alias("tokens"), F.expr("transform(p, x -> x.doc_id)").alias("doc_ids"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32_of(ids):
     import pandas as pd
 
