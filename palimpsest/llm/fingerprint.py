@@ -176,7 +176,7 @@ def with_successors(documents: DataFrame, buckets: int) -> DataFrame:
     rows = documents.select(common.order_id("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     cuts = sorted(set(rows.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
-    cuts = [int(c) for c in cuts]
+    cuts = sorted({min(int(c), common.LAST_ID) for c in cuts})
 
     @F.pandas_udf("int")
     def bucket_of(id_):
