@@ -12,7 +12,7 @@ Pivot distance table: each bucket holds its fingerprints' Hamming distances to `
 triangle inequality two fingerprints with a coordinate difference above three can't link, so pairs are discarded by
 their maximum coordinate difference, and the survivors are verified bit by bit. A bucket emits links of a spanning
 forest only, so its output is linear in its size. A bucket above ``SPLIT`` fingerprints is cut again by the pigeonhole
-principle over its other bits before pairs are looked at.
+principle over the bits in which they differ before pairs are looked at.
 
 Components come from alternating large-star and small-star steps over the links, as joins and aggregations; no links
 or components are collected.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm import common
 
 DISTANCE, SHINGLE, SEED, PIVOTS, SPLIT = 3, 3, 42, 24, 2048
+#: Pairs that a sweep looks at together.
+PAIRS = 1 << 20
 #: Reference fingerprints: fixed and spread out, the same on every run.
 REFERENCES = np.random.default_rng(64).integers(0, 2**64, PIVOTS, dtype=np.uint64)
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -125,40 +127,50 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, parent: np.ndarray | None = Non
     return kept, parent
 
 
-def bucket_links(fps: np.ndarray, free: int) -> np.ndarray:
-    """A spanning forest of the links within one bucket; ``free`` are the bits that its key doesn't compare."""
+def sweep(fps: np.ndarray) -> np.ndarray:
+    """A spanning forest of the links among some fingerprints, by bands of the first pivot's coordinate."""
     n = len(fps)
-    if n > SPLIT and bin(free).count("1") > DISTANCE + 1:
-        bits = [b for b in range(64) if free >> b & 1]
-        out = []
-        for part in np.array_split(np.array(bits, np.uint64), DISTANCE + 1):
-            mask = int(np.bitwise_or.reduce(np.uint64(1) << part))
-            keys = fps & np.uint64(mask)
-            order = np.argsort(keys, kind="stable")
-            cuts = np.flatnonzero(np.diff(keys[order])) + 1
-            out += [bucket_links(fps[g], free & ~mask) for g in np.split(order, cuts) if len(g) > 1]
-        links = np.concatenate([np.empty((0, 2), np.uint64), *out])
-        if not len(links):
-            return links
-        order = np.argsort(fps)
-        at = order[np.searchsorted(fps[order], links)]
-        kept, _ = forest(n, at[:, 0], at[:, 1])
-        return fps[np.array(kept, np.int64).reshape(-1, 2)]
     table = pivot_table(fps)
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
     hi = np.searchsorted(table[:, 0], table[:, 0] + DISTANCE, side="right")
-    kept, parent = [], None
-    for lo in range(0, n, 256):  # rows of the bucket by rows of the band that the first pivot leaves
-        end = int(hi[min(lo + 256, n) - 1])
-        i, j = np.meshgrid(np.arange(lo, min(lo + 256, n)), np.arange(lo, end), indexing="ij")
-        ahead = i < j
-        new, parent = forest(n, *near_pairs(fps, i[ahead], j[ahead], table), parent)
+    kept, parent, step = [], np.arange(n), max(1, PAIRS // n)
+    for lo in range(0, n, step):
+        top = min(lo + step, n)
+        while not (parent[parent] == parent).all():
+            parent = parent[parent]
+        i, j = np.meshgrid(np.arange(lo, top), np.arange(lo, int(hi[top - 1])), indexing="ij")
+        apart = (i < j) & (parent[i] != parent[j])  # pairs in one tree need no look
+        new, parent = forest(n, *near_pairs(fps, i[apart], j[apart], table), parent)
         kept += new
     return fps[np.array(kept, np.int64).reshape(-1, 2)]
 
 
-def stretch_links(keys: np.ndarray, tables: np.ndarray, fps: np.ndarray, masks: list[int]) -> np.ndarray:
+def bucket_links(fps: np.ndarray) -> np.ndarray:
+    """A spanning forest of the links within one bucket.
+
+    A large bucket is cut by the bits in which its members differ, four parts of them, of which linked members agree
+    in one at least; unless that leaves a part's groups nearly as large, when cutting would only repeat the work.
+    """
+    n = len(fps)
+    bits = [b for b in range(64) if n > SPLIT and len(np.unique(fps >> np.uint64(b) & np.uint64(1))) > 1]
+    if len(bits) <= DISTANCE + 1:
+        return sweep(fps)
+    groups = []
+    for part in np.array_split(np.array(bits, np.uint64), DISTANCE + 1):
+        keys = fps & np.bitwise_or.reduce(np.uint64(1) << part)
+        order = np.argsort(keys, kind="stable")
+        groups += [g for g in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(g) > 1]
+    if max(map(len, groups), default=0) > n // 8:
+        return sweep(fps)
+    links = np.concatenate([np.empty((0, 2), np.uint64), *(bucket_links(fps[g]) for g in groups)])
+    order = np.argsort(fps)
+    at = order[np.searchsorted(fps[order], links)]
+    kept, _ = forest(n, at[:, 0], at[:, 1])
+    return fps[np.array(kept, np.int64).reshape(-1, 2)]
+
+
+def stretch_links(keys: np.ndarray, tables: np.ndarray, fps: np.ndarray) -> np.ndarray:
     """Links of a stretch of rows sorted by (table, key) that holds whole buckets."""
     start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tables[1:] != tables[:-1])])
     size = np.diff(np.r_[start, len(keys)])
@@ -173,7 +185,7 @@ def stretch_links(keys: np.ndarray, tables: np.ndarray, fps: np.ndarray, masks:
             out.append(np.stack([f[a], f[b]], 1))
     for g in np.flatnonzero(size > 32):
         part = slice(start[g], start[g] + size[g])
-        out.append(bucket_links(fps[part], ~masks[tables[start[g]]] & (2**64 - 1)))
+        out.append(bucket_links(fps[part]))
     return np.concatenate(out)
 
 
@@ -188,7 +200,7 @@ def links(distinct: DataFrame, blocks: int) -> DataFrame:
         held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
 
         def found(t, key, fp) -> pa.RecordBatch:
-            got = stretch_links(key, t, fp.view(np.uint64), masks).view(np.int64)
+            got = stretch_links(key, t, fp.view(np.uint64)).view(np.int64)
             got = np.unique(np.sort(got, 1), axis=0) if len(got) else got
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=_OUT)
 
