@@ -766,3 +766,65 @@ def oplog_frames(spark, sf_dir):
     src = Snapshots(spark, sf_dir).src
     updates = src.select(F.lit("v").alias("vault"), F.sha2(F.concat("top", "source"), 256).alias("note_key"), F.col("doc_id").alias("seq"), F.col("t").cast("binary").alias("update"))
     return logs.decode_log(logs.encode_log(updates)).select("vault", "note_key", "seq", F.sha2("update", 256).alias("update_hash"))
+
+
+# --- stores and small functions -----------------------------------------------------------------------------------------
+
+
+@query("SELECT hash, min(size_bytes) AS size FROM (SELECT hash, size_bytes FROM base UNION ALL SELECT hash, size_bytes FROM a) GROUP BY hash")
+def object_store_put(spark, sf_dir):
+    """A store by hash after more objects are put into it: each content once."""
+    s = Snapshots(spark, sf_dir)
+    store = tables.put_objects(s.blobs("a"), tables.put_objects(s.blobs("base"), s.blobs("base").where("false")))
+    return store.select("hash", F.octet_length("data").cast("long").alias("size"))
+
+
+@query("SELECT doc_id, substr(sha256(t), 1, 2) || '/' || substr(sha256(t), 3) AS object_path FROM src")
+def object_paths(spark, sf_dir):
+    return Snapshots(spark, sf_dir).src.select("doc_id", F.sha2("t", 256).alias("hash")).select("doc_id", tables.object_path("hash").alias("object_path"))
+
+
+_TOKENS = "k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN upper(sha256(t)) WHEN 1 THEN substr(sha256(t), 2) WHEN 2 THEN 'g' || substr(sha256(t), 2) ELSE sha256(t) END AS token FROM src)"
+
+
+@query(_TOKENS + "SELECT doc_id, regexp_full_match(token, '[0-9a-fA-F]{64}') AS valid FROM k")
+def hash_validation(spark, sf_dir):
+    h, k = F.sha2("t", 256), F.col("doc_id") % 4
+    token = F.when(k == 0, F.upper(h)).when(k == 1, F.substring(h, 2, 64)).when(k == 2, F.concat(F.lit("g"), F.substring(h, 2, 64))).otherwise(h)
+    return Snapshots(spark, sf_dir).src.select("doc_id", paths.is_hash(token).alias("valid"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(t) > 40 THEN substr(t, 1, 40) || '…[truncated]' ELSE t END AS short,
+  replace(replace(replace(replace(replace(substr(t, 1, 30) || '<a & "b">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped,
+  len(list_filter(list_transform(string_split(replace(source || ', x ,,' || lang, ',', chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS patterns,
+  CASE WHEN doc_id % 3 > 0 THEN length(t) * 1000.0 / (doc_id % 3) END AS rate FROM src""")
+def text_helpers(spark, sf_dir):
+    src, ms = Snapshots(spark, sf_dir).src, F.col("doc_id") % 3
+    listed = paths.pattern_list(F.concat("source", F.lit(", x ,,"), "lang"))
+    raw = F.concat(F.substring("t", 1, 30), F.lit('<a & "b">'))
+    return src.select("doc_id", formats.truncate_text("t", 40).alias("short"), paths.html_escape(raw).alias("escaped"), F.size(listed).cast("long").alias("patterns"), formats.rate(F.length("t"), ms).alias("rate"))
+
+
+@query("SELECT doc_id, path FROM src WHERE NOT (path LIKE 'de/%' OR path LIKE '%3.md')")
+def excluded_paths(spark, sf_dir):
+    """Files that a scan looks at: neither in the system's own folders nor ignored."""
+    return Snapshots(spark, sf_dir).src.where(~scan.excluded("path", _IGNORE, ["de/"])).select("doc_id", "path")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS vault, CAST(o_orderkey AS VARCHAR) AS root FROM orders", ctes=False)
+def root_changes(spark, sf_dir):
+    """A frame for each move of a current version, written and read as JSON."""
+    from palimpsest.streaming import presence
+
+    moves = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("string").alias("vault"), F.col("o_orderkey").cast("string").alias("root_hash"))
+    return presence.frames(presence.root_changes(moves), "me").select("vault", "root")
+
+
+@query("SELECT 'v' AS vault, sha256(top || source) AS note_key, 1 AS frames, sha256(string_agg(t, '' ORDER BY doc_id)) AS update_hash FROM src GROUP BY top, source HAVING sum(strlen(t)) <= 4194304")
+def oplog_compaction(spark, sf_dir):
+    """Each note's log as one frame of all its contents, split again."""
+    src = Snapshots(spark, sf_dir).src
+    whole = src.groupBy("top", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "").alias("s"))
+    small = whole.where(F.octet_length("s") <= 4 << 20).select(F.lit("v").alias("vault"), F.sha2(F.concat("top", "source"), 256).alias("note_key"), F.col("s").cast("binary").alias("snapshot"))
+    rows = logs.decode_log(logs.compact_log(small))
+    return rows.groupBy("vault", "note_key").agg(F.count(F.lit(1)).alias("frames"), F.max(F.sha2("update", 256)).alias("update_hash"))

@@ -17,6 +17,7 @@ def builder(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSessi
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.cteRecursionLevelLimit", "-1")  # a version may have any number of ancestors
         .config("spark.ui.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
