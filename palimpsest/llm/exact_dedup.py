@@ -28,7 +28,7 @@ from palimpsest.llm import common
 RUN_SCHEMA = "run string, digest binary, variant int, sha binary, id long, doc_id long, first boolean, copies long, filter binary"
 _ARROW = pa.schema([("run", pa.string()), ("digest", pa.binary()), ("variant", pa.int32()), ("sha", pa.binary()), ("id", pa.int64()), ("doc_id", pa.int64()), ("first", pa.bool_()), ("copies", pa.int64()), ("filter", pa.binary())])
 #: Most bits of the filter that the driver hands out; beyond it the filter only lets more through.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 HASHES = 4
 
 
