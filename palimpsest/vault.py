@@ -1,12 +1,14 @@
 """A versioned collection in a folder: push, pull, merge, history, rollback, purge and export.
 
 Tables are append-only Parquet below ``path``: ``roots``, ``prefixes``, ``entries`` (in folders by root and prefix, so a
-diff reads the prefixes that differ) and ``blobs``. The current version is a one-row table that is replaced; there is
+diff reads the prefixes that differ) and ``blobs``; ``staging`` holds what a push computes once and reads several times,
+and may be removed between pushes. The current version is a one-row table that is replaced; there is
 one writer at a time, which compares the version it started from with the current one before it moves the pointer.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -67,6 +69,11 @@ class Vault:
     def blobs(self) -> DataFrame:
         return self._table("blobs")
 
+    def _stage(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def exists(self) -> bool:
         return not self._table("roots").isEmpty()
 
@@ -105,7 +112,7 @@ class Vault:
 
     def _store(self, entries: DataFrame, parent: str | None, device: str, now_ms: int) -> str:
         """Writes a version and returns its root; equal contents have one root, whose entries are kept as they are."""
-        entries = entries.select(*ENTRY_COLS)
+        entries = self._stage(entries.select(*ENTRY_COLS))
         prefixes = tree.build_prefixes(tree.build_leaves(entries, self.leaf_size)).collect()  # a row for each top folder
         table = self.spark.createDataFrame([tuple(r) for r in prefixes], "prefix string, prefix_hash string, leaves long, files long")
         root = tree.build_root(table).first()
@@ -152,12 +159,13 @@ class Vault:
         base = self.entries(parent)  # unknown parents are an error: a full scan is needed
         result = merge.merge_trees(base, self.entries(current), self.entries(incoming), self.blobs(), compat)
         if result.merged_blobs is not None:
-            self.put_blobs(result.merged_blobs)
+            self.put_blobs(self._stage(result.merged_blobs))
+        conflicts = self._stage(result.conflicts)
         merged = self._store(result.entries, current, "server", now_ms)
         reason = self._guarded(current, merged, device)
         self._move(merged, current)
         counts = result.metrics.first()
-        return PushResult(True, True, merged, counts.auto_resolved, counts.text_merged, result.conflicts, reason)
+        return PushResult(True, True, merged, counts.auto_resolved, counts.text_merged, conflicts, reason)
 
     def diff(self, from_root: str | None, to_root: str | None = None) -> DataFrame:
         """What a device at ``from_root`` (null or zeros: nothing) must do to be at a version; reads differing prefixes."""
