@@ -121,3 +121,19 @@ def compact_log(snapshots: DataFrame) -> DataFrame:
     size = F.octet_length("snapshot") > MAX_FRAME
     good = F.when(size, F.raise_error(F.lit("the snapshot is too large for a frame"))).otherwise(frame(F.col("snapshot")))
     return snapshots.select("vault", "note_key", good.alias("log"))
+
+
+def compact_notes(updates: DataFrame) -> DataFrame:
+    """vault, note_key, bytes, refused, log: each note's updates in order of seq as one frame.
+
+    A note above ``MAX_FRAME`` bytes is refused and its row has no log. Sizes are summed first, so the contents of a
+    refused note are never gathered; there is at most one refused note for each ``MAX_FRAME`` bytes of the table.
+    """
+    key = ["vault", "note_key"]
+    sizes = updates.groupBy(*key).agg(F.sum(F.octet_length("update")).cast("long").alias("bytes")).where(F.col("bytes") > MAX_FRAME)
+    met = F.col("u.vault").eqNullSafe(F.col("r.vault")) & F.col("u.note_key").eqNullSafe(F.col("r.note_key"))
+    small = updates.alias("u").join(F.broadcast(sizes.select(*key).alias("r")), met, "left_anti")
+    whole = small.select(*key, "seq", F.hex("update").alias("h")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "h"))).alias("l"))
+    snapshots = whole.select(*key, F.unhex(F.array_join(F.transform("l", lambda x: x["h"]), "")).alias("snapshot"))
+    good = compact_log(snapshots).select(*key, (F.octet_length("log") - 4).cast("long").alias("bytes"), F.lit(False).alias("refused"), "log")
+    return good.unionByName(sizes.select(*key, "bytes", F.lit(True).alias("refused"), F.lit(None).cast("binary").alias("log")))

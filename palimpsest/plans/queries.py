@@ -822,9 +822,20 @@ def root_changes(spark, sf_dir):
 
 @query("SELECT 'v' AS vault, sha256(top || source) AS note_key, 1 AS frames, sha256(string_agg(t, '' ORDER BY doc_id)) AS update_hash FROM src GROUP BY top, source HAVING sum(strlen(t)) <= 4194304")
 def oplog_compaction(spark, sf_dir):
-    """Each note's log as one frame of all its contents, split again."""
+    """Each note's log as one frame of all its contents, split again. A note is all texts of a folder and source, and its
+    SQL leaves out notes above 4 MiB; ``oplog_note_compaction`` reports them."""
     src = Snapshots(spark, sf_dir).src
-    whole = src.groupBy("top", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "").alias("s"))
-    small = whole.where(F.octet_length("s") <= 4 << 20).select(F.lit("v").alias("vault"), F.sha2(F.concat("top", "source"), 256).alias("note_key"), F.col("s").cast("binary").alias("snapshot"))
-    rows = logs.decode_log(logs.compact_log(small))
+    updates = src.select(F.lit("v").alias("vault"), F.sha2(F.concat("top", "source"), 256).alias("note_key"), F.col("doc_id").alias("seq"), F.col("t").cast("binary").alias("update"))
+    rows = logs.decode_log(logs.compact_notes(updates).where("NOT refused"))
     return rows.groupBy("vault", "note_key").agg(F.count(F.lit(1)).alias("frames"), F.max(F.sha2("update", 256)).alias("update_hash"))
+
+
+@query("""SELECT 'v' AS vault, sha256(path) AS note_key, CAST(strlen(t) AS BIGINT) AS bytes, strlen(t) > 4194304 AS refused,
+  CASE WHEN strlen(t) <= 4194304 THEN sha256(t) END AS update_hash FROM src""")
+def oplog_note_compaction(spark, sf_dir):
+    """Each document's log, whose updates are pieces of it, as one frame, split again; refused notes are rows, too."""
+    src = Snapshots(spark, sf_dir).src
+    pieces = src.select(F.sha2("path", 256).alias("note_key"), F.posexplode_outer(F.regexp_extract_all("t", F.lit("(?s).{1,4096}"), F.lit(0))).alias("seq", "piece"))
+    done = logs.compact_notes(pieces.select(F.lit("v").alias("vault"), "note_key", "seq", F.coalesce("piece", F.lit("")).cast("binary").alias("update")))
+    good = logs.decode_log(done.where("NOT refused")).select("vault", "note_key", F.octet_length("update").cast("long").alias("bytes"), F.lit(False).alias("refused"), F.sha2("update", 256).alias("update_hash"))
+    return good.unionByName(done.where("refused").select("vault", "note_key", "bytes", "refused", F.lit(None).cast("string").alias("update_hash")))

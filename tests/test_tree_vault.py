@@ -177,6 +177,30 @@ def test_objects_logs_and_archives(spark, tmp_path):
         assert (m.name, m.mtime, m.mode, tar.extractfile(m).read()) == ("a/b.md", 5, 0o644, b"text")
 
 
+def test_compaction_reports_refused_notes(spark):
+    from palimpsest.model import MAX_FRAME
+    from palimpsest.operators import logs
+
+    half = MAX_FRAME // 2
+    updates = spark.createDataFrame([("n", 1, "b", half), ("n", 0, "a", half), ("m", 0, "c", half), ("m", 1, "d", half + 1), (None, 0, "e", MAX_FRAME + 1), ("o", 0, "", 1)], "note_key string, seq long, c string, times int")
+    updates = updates.selectExpr("'v' AS vault", "note_key", "seq", "CAST(repeat(c, times) AS BINARY) AS update")
+    got = {r.note_key: (r.bytes, r.refused, r.log) for r in logs.compact_notes(updates).collect()}
+    assert got["m"] == (MAX_FRAME + 1, True, None) and got[None] == (MAX_FRAME + 1, True, None)
+    assert got["n"][:2] == (MAX_FRAME, False) and logs.split_frames(bytes(got["n"][2])) == [b"a" * half + b"b" * half]
+    assert got["o"][:2] == (0, False) and logs.split_frames(bytes(got["o"][2])) == [b""] and len(got) == 4
+
+
+def test_compaction_keeps_a_crowded_source(spark, tmp_path):
+    """A source above 4 MiB in all: each of its documents is a note of its own and keeps its row."""
+    from palimpsest.plans.queries import QUERIES
+
+    docs = spark.range(1, 7).selectExpr("id AS doc_id", "repeat(chr(96 + id), IF(id = 6, 4194305, 1000000)) AS text", "'en' AS lang", "'src1' AS source")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["oplog_note_compaction"](spark, str(tmp_path)).collect()
+    assert sorted((r.bytes, r.refused, r.update_hash) for r in got if not r.refused) == sorted((1_000_000, False, sha(c * 1_000_000)) for c in "abcde")
+    assert [(r.bytes, r.update_hash) for r in got if r.refused] == [(4_194_305, None)]
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "j.ndjson").write_text('{"action": "created", "path": "a", "ts": 1, "synced": false}\nnot json\n')
     assert rows(tables.read_journal(spark, str(tmp_path / "j.ndjson")), "action", "path", "synced") == [("created", "a", False)]
