@@ -159,13 +159,15 @@ def labelled_sample(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES,
     """Rows (url, host, verdict) of ``most`` urls at most that a rule decides: distinct, those of the smallest hashes.
 
     Only hashes low enough to leave about twice the sample go on, so what is sorted and sent doesn't grow with the table.
+    The share is of distinct urls, however often each is repeated; should it leave too few, all are taken.
     """
     host, path = host_path(F.col("url"))
     _, verdict = ruled(host, path, rules)
     rows = pages.select("url", host.alias("host"), verdict.alias("verdict")).where("verdict IS NOT NULL")
-    share = 2.0 * most / max(1, rows.count())
-    some = rows if share >= 1 else rows.where(F.shiftrightunsigned(F.xxhash64("url"), 11) / F.lit(2.0**53) < share)
-    return some.distinct().orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    share = 2.0 * most / max(1, rows.agg(F.approx_count_distinct("url")).first()[0])
+    least = lambda some: some.distinct().orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    got = least(rows.where(F.shiftrightunsigned(F.xxhash64("url"), 11) / F.lit(2.0**53) < share)) if share < 1 else []
+    return got if len(got) == most else least(rows)
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_urls: int = SAMPLE_URLS) -> DataFrame:

@@ -173,6 +173,13 @@ def test_rules(spark):
     assert url_filter.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_the_sample_counts_distinct_urls(spark):
+    frame = spark.range(20_000).selectExpr("concat('http://a', id % 200, IF(id % 2 = 0, '.net/', '.org/fr/')) AS url")
+    got = url_filter.labelled_sample(frame, most=80)
+    assert len({r.url for r in got}) == 80 and {r.verdict for r in got} == {"allow", "block"}
+    assert len(url_filter.labelled_sample(frame, most=500)) == 200
+
+
 def test_op3_covers_every_page(spark, duck):
     got = QUERIES["op3_url_filter"](spark, SF).collect()
     assert sorted(r.page_id for r in got) == sorted(r[0] for r in duck.sql("SELECT page_id FROM pages").fetchall())
