@@ -22,7 +22,7 @@ import random
 from itertools import cycle
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common
@@ -180,12 +180,27 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     """The documents, with their own columns, each as often as the mix takes it.
 
-    Of repeated rows with one doc_id each row gets the mean of their copies, rounded up for the first of them.
+    Rows that share their doc_id and source (null ids do) have copies of their own. The mix tells them apart by size
+    only, so of those of one size the ones with the smallest hashes of their texts get the greater number.
     """
-    copies = mix(documents, **how).groupBy("doc_id", "source").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
+    path = common.shared_dir(documents.sparkSession)
+    copies = common.materialise(mix(documents, **how).select("doc_id", "source", "size", "copies"), f"{path}/copies")
     own = [F.col(f"d.`{c}`") for c in documents.columns]
-    both = documents.alias("d").join(copies.alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.source <=> m.source"))
-    return both.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("__copies") / F.col("__rows"))))).alias("__n")).drop("__n")
+    by_id = copies.groupBy("doc_id", "source").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    met = F.expr("d.doc_id <=> m.doc_id AND d.source <=> m.source")
+    single = documents.alias("d").join(by_id.where("__rows = 1 AND __copies > 0").alias("m"), met)
+    out = single.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__n")).drop("__n")
+    shared = common.materialise(by_id.where("__rows > 1").select("doc_id", "source"), f"{path}/shared")
+    if shared.isEmpty():
+        return out
+    by_size = copies.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
+    due = by_size.alias("c").join(shared.alias("s"), F.expr("c.doc_id <=> s.doc_id AND c.source <=> s.source"), "left_semi")
+    sized = documents.withColumn("__size", word_count())
+    rows = sized.alias("d").join(due.alias("m"), met & F.expr("d.__size = m.size"))
+    order = Window.partitionBy("m.doc_id", "m.source", "m.size").orderBy(F.xxhash64("d.text"), "d.text")
+    each = F.expr("__copies div __rows") + F.when(F.row_number().over(order) <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    rows = rows.select(*own, each.cast("long").alias("__each")).where("__each > 0")
+    return out.unionByName(rows.select(*documents.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__each"))).alias("__n")).drop("__n"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -315,6 +315,16 @@ def test_mixing_odd_documents(spark):
     assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_of_one_id_have_their_own_copies(spark):
+    rows = [(None, f"n{k} " + "w " * 9, "a") for k in range(30)] + [(7, f"s{k} " + "w " * (k % 3), "a") for k in range(12)] + [(k, "v " * 20, "b") for k in range(20, 40)]
+    want, size = Counter(), lambda t: len(t.split())
+    for r in mixing.mix(docs(spark, rows)).collect():
+        want[r.doc_id, r.source, r["size"]] += r.copies
+    got = [(r.doc_id, r.text, r.source) for r in mixing.mixed_documents(docs(spark, rows)).collect()]
+    assert Counter((i, s, size(t)) for i, t, s in got) == +want
+    assert 0 < want[None, "a", 10] < 30 and max(Counter(t for i, t, _ in got if i is None).values()) == 1
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------------
 
 
