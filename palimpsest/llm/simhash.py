@@ -62,15 +62,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row; null text counts as empty."""
+def fingerprints(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the columns ``carry`` for each row; null text counts as empty."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             got = np.fromiter((fingerprint(shingle_hashes(t.as_py())) for t in part.column(1)), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64)), *part.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, fp long")
+    kinds = dict(documents.dtypes)
+    schema = ", ".join(["doc_id long", "fp long", *(f"{c} {kinds[c]}" for c in carry)])
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).mapInArrow(make, schema)
 
 
 # --- links between distinct fingerprints ----------------------------------------------------------------------------
@@ -258,9 +260,9 @@ def star_components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 
 
-def near_dedup(documents: DataFrame, blocks: int | None = None) -> DataFrame:
+def near_dedup(documents: DataFrame, blocks: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hex digits), component_id, linked (distinct fingerprints
-    of its component are more than one).
+    of its component are more than one), component (one number for each, whatever the ids), and the columns ``carry``.
 
     Null and empty texts, and texts of white space only, have fingerprint zero and link like any other. Repeated rows
     and ties share a fingerprint and so a component. component_id is the smallest doc_id of the component; a null
@@ -268,16 +270,16 @@ def near_dedup(documents: DataFrame, blocks: int | None = None) -> DataFrame:
     """
     spark = documents.sparkSession
     path = common.shared_dir(spark)
-    prints = common.materialise(fingerprints(documents), f"{path}/fingerprints")
+    prints = common.materialise(fingerprints(documents, carry), f"{path}/fingerprints")
     distinct = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), f"{path}/distinct")
     found = links(distinct.select("fp"), blocks or blocks_for(distinct.count()))
     stars = common.materialise(star_components(found, path), f"{path}/components")
     named = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"), (F.count(F.lit(1)) > 1).alias("linked"))
-    by_print = named.join(lows, "root").select("fp", "component_id", "linked")
+    by_print = named.join(lows, "root").select("fp", "component_id", "linked", F.col("root").alias("component"))
     # Copies of one text share a fingerprint: they are dealt by a salt, and the fingerprint's row goes to each salt.
     out = common.salted_lookup(prints, by_print, "fp", f"{path}/by-print")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "linked")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "linked", "component", *carry)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

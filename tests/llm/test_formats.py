@@ -370,3 +370,12 @@ def test_pipeline_of_odd_tables(spark):
         for _, stage in p.STAGES:
             frame = common.materialise(stage(spark, frame, SF), f"{common.shared_dir(spark)}/o")
         assert (frame.count() > 0) == bool(own)
+
+
+def test_near_rows_without_an_id_of_their_own(spark):
+    import corpus_pipeline as p
+
+    rows = [(None, "ONE two three four"), (None, "one two three four"), (None, "one two three Four"), (7, "x y z w"), (7, "X y z w"), (8, "X Y z w"), (9, "other words here now"), (None, "Other words here now"), (None, "a last one alone"), (3, "same row same row"), (3, "same row same row")]
+    got = p.near(spark, docs(spark, [(i, t, "s") for i, t in rows]), SF)
+    assert got.columns == ["doc_id", "text", "source", "part", "n"]
+    assert sorted(((r.doc_id, r.text.lower()) for r in got.collect()), key=repr) == sorted([(None, "one two three four"), (7, "x y z w"), (9, "other words here now"), (None, "a last one alone"), (3, "same row same row")], key=repr)
