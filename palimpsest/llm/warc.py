@@ -3,8 +3,8 @@
 A page becomes one record; a payload above ``CHUNK`` characters becomes a response segment and continuation segments
 (WARC-Segment-Number, WARC-Segment-Origin-ID), a row each, so no task holds a whole archive or a second copy of a long
 record. Rows are written as WARC text by Spark's own writer, and read by Spark's own reader, which cuts at the version
-line; a payload that holds that line is cut inside it, so no segment contains it. Both work in any store that Spark
-reaches.
+line; a payload that holds that line is cut inside it, so no segment contains it. The line end after a block counts: a
+segment that ends in the version is cut, too, and a url that does is escaped. Both work in any store that Spark reaches.
 
 Digests of segmented payloads are carried from chunk to chunk: chunks are dealt by record and sorted, and a running
 SHA-256 sees one chunk at a time.
@@ -23,20 +23,27 @@ from palimpsest.llm import common
 
 CHUNK, LEAST_REVISIT, RECORDS_A_FILE = 1 << 18, 100, 100_000
 VERSION, EOL = "WARC/1.1\r\n", "\r\n"
+#: What becomes the version line before a line end.
+OPEN = VERSION.removesuffix(EOL)
 #: The date that all records carry, so that reruns write equal archives.
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def chunked(text: Column, size: int = CHUNK) -> Column:
-    """The text as an array of chunks of ``size`` characters at most, none of which holds the version line."""
+    """The text as an array of chunks of ``size`` characters at most, none of which holds the version line or would
+    before a line end."""
     whole = F.when(F.contains(text, F.lit(VERSION)), F.split(text, r"(?<=WARC)(?=/1\.1\r\n)", -1)).otherwise(F.array(text))
 
     def cut(piece: Column) -> Column:
         last = F.greatest(F.lit(0), F.ceil(F.length(piece) / size).cast("int") - 1)
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(piece, i * size + 1, F.lit(size)))
 
-    return F.when((F.length(text) <= size) & ~F.contains(text, F.lit(VERSION)), F.array(text)).otherwise(F.flatten(F.transform(whole, cut)))
+    def closed(chunk: Column) -> Column:
+        return F.when(F.endswith(chunk, F.lit(OPEN)), F.array(F.substr(chunk, F.lit(1), F.length(chunk) - 4), F.lit(OPEN[-4:]))).otherwise(F.array(chunk))
+
+    plain = (F.length(text) <= size) & ~F.contains(text, F.lit(VERSION)) & ~F.endswith(text, F.lit(OPEN))
+    return F.when(plain, F.array(text)).otherwise(F.flatten(F.transform(F.flatten(F.transform(whole, cut)), closed)))
 
 
 def plan_records(pages: DataFrame, path: str) -> DataFrame:
@@ -63,7 +70,7 @@ def record_chunks(pages: DataFrame, revisits: DataFrame, size: int = CHUNK) -> D
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     kind = F.when(~first, F.lit("continuation")).when(F.col("response").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))
     record = F.when(first, urn(F.col("id"))).otherwise(F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(":"), chunk_no.cast("string"), F.lit(">")))
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), r"(?<=WARC/1)\.(?=1\z)", "%2E")
 
     def line(name: str, value: Column, when: Column | None = None) -> Column:
         text = F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL))

@@ -51,6 +51,15 @@ def test_archives_come_back(spark, tmp_path, size):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("size", [8, 20, 1 << 18])
+def test_payloads_that_end_in_the_version(spark, tmp_path, size):
+    ends = ["WARC/1.1", "x" * 12 + "WARC/1.1", "x" * 12 + "WARC/1.1" + "y" * 30, "WARC/1.1\r\nWARC/1.1", "WARC/1.1" * 5, "WARC/1.1\r"]
+    rows = [(i, "http://a/WARC/1.1", h) for i, h in enumerate(ends)]
+    path = f"file://{tmp_path}"
+    got = warc.read_archives(spark, warc.write_archives(pages(spark, rows), path, size), path).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == [(i, len(h), hashlib.sha256(h.encode()).hexdigest()) for i, h in enumerate(ends)]
+
+
 def test_archives_are_warc(spark, tmp_path):
     path = f"file://{tmp_path}"
     warc.write_archives(pages(spark, [(1, "http://a/", "h" * 500), (2, "http://b/", "h" * 500)]), path, 200)
