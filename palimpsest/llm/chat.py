@@ -96,20 +96,42 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
 
 
 def loss_text() -> Column:
-    return F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    """What ``loss_mask`` keeps of ``formatted``, unescaped.
+
+    Places are summed within blocks of ``BLOCK`` runs and then over the blocks, and cut from a copy of four bytes a
+    character, so neither is quadratic in a long conversation.
+    """
+    zero, spans = F.lit(0).cast("long"), lambda kind: F.expr(f"CAST(array() AS array<{kind}>)")
+    kind = "struct<at:bigint,keep:bigint>"
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("loss_mask") - 1) / BLOCK).cast("int")), lambda k: F.slice("loss_mask", k * BLOCK + 1, F.lit(BLOCK)))
+
+    def place(s: Column, m: Column) -> Column:
+        at = s["at"] + m["skip"]
+        own = F.array(F.struct(at.alias("at"), m["keep"].alias("keep")))
+        return F.struct((at + m["keep"]).alias("at"), F.when(m["keep"] > 0, F.concat(s["spans"], own)).otherwise(s["spans"]).alias("spans"))
+
+    def follow(s: Column, b: Column) -> Column:
+        own = F.array(F.struct(s["at"].alias("base"), b["spans"].alias("spans")))
+        return F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["blocks"], own).alias("blocks"))
+
+    blocks = F.transform(runs, lambda r: F.aggregate(r, F.struct(zero.alias("at"), spans(kind).alias("spans")), place))
+    placed = F.aggregate(blocks, F.struct(zero.alias("at"), spans(f"struct<base:bigint,spans:array<{kind}>>").alias("blocks")), follow)["blocks"]
+    cut = lambda wide, at, keep: unescape(F.decode(F.substr(wide, (4 * at + 1).cast("int"), (4 * keep).cast("int")), "UTF-32"))
+    text = lambda wide: F.array_join(F.transform(placed, lambda b: F.array_join(F.transform(b["spans"], lambda s: cut(wide, b["base"] + s["at"], s["keep"])), "")), "")
+    return F.transform(F.array(F.encode("formatted", "UTF-32")), text)[0]  # the copy is made once
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    back = read_conversations(format_conversations(conversations.unionByName(extra)))
+    back = read_conversations(format_conversations(conversations.unionByName(extra))).withColumn("loss", loss_text())
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(loss_text()).cast("long").alias("loss_chars"),
-        F.sha2(loss_text(), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

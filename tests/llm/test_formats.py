@@ -264,6 +264,20 @@ def test_rows_of_one_role_merge(spark):
     assert chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").limit(0)).count() == 0
 
 
+def test_the_loss_is_read_through_the_mask(spark):
+    from pyspark.sql import functions as F
+
+    said = [(1, k, ("user", "assistant", "assistant")[k % 3], ("é😀", "a\\\\b", "<|end|>", "")[k % 4] + f"[INST]{k}") for k in range(600)] + [(2, 0, "user", "only asked"), (3, 0, "assistant", "中")]
+    rows = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(rows)
+    texts = {i: "".join(t for j, _, r, t in said if i == j and r == "assistant") for i in (1, 2, 3)}
+    read = lambda f: {r.conv_id: r.loss for r in chat.read_conversations(f).select("conv_id", chat.loss_text().alias("loss")).collect()}
+    assert read(made) == texts
+    shift = F.transform("loss_mask", lambda m, i: F.struct((m["skip"] - F.when(i == 0, 1).otherwise(0)).alias("skip"), m["keep"].alias("keep")))
+    moved = read(made.withColumn("loss_mask", shift))
+    assert moved[1] != texts[1] and moved[3] == ">"
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
