@@ -96,9 +96,9 @@ def reassemble(manifests: DataFrame, chunks: DataFrame, verify: bool = True) ->
     wanted = manifests.select("file_hash", "total_size", F.size("chunks").alias("n"), F.posexplode_outer("chunks").alias("pos", "c"))
     met = wanted.join(store, F.col("c.hash") == store.hash, "left").select("file_hash", "total_size", "n", "pos", F.col("c.hash").alias("h"), F.col("c.size").alias("size"), "data")
     sound = (F.octet_length("data") == F.col("size")) & (F.sha2("data", 256) == F.col("h"))
-    rows = met.groupBy("file_hash", "total_size", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("p"), F.count_if(sound).alias("sound"), F.count("data").alias("there"))
-    whole = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(F.coalesce(x["data"], F.lit(b"")))), ""))
-    rows = rows.withColumn("data", F.when(F.col("n") <= 0, F.lit(b"")).otherwise(whole))
+    whole = F.expr("listagg(data) WITHIN GROUP (ORDER BY pos)")
+    rows = met.groupBy("file_hash", "total_size", "n").agg(whole.alias("data"), F.count_if(sound).alias("sound"), F.count("data").alias("there"))
+    rows = rows.withColumn("data", F.coalesce("data", F.lit(b"")))
     if verify:
         good = (F.greatest(F.col("n"), F.lit(0)) == F.col("sound")) & (F.sha2("data", 256) == F.col("file_hash")) & (F.octet_length("data") == F.col("total_size"))
         return rows.select("file_hash", F.when(good, F.col("data")).alias("data"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.paths import col
@@ -56,3 +56,35 @@ def rate(amount: Column | str, ms: Column | str) -> Column:
 def truncate_text(text: Column | str, most: int, mark: str = "…[truncated]") -> Column:
     text = col(text)
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
+def lossy_text(data: Column | str) -> Column:
+    """Bytes as text, with U+FFFD for what is not UTF-8."""
+    return F.make_valid_utf8(col(data).cast("string"))
+
+
+def clock(ms: Column | str) -> Column:
+    """The time of day of an epoch time, as HH:MM:SS.mmm, in UTC whatever the session's zone."""
+    ms = F.pmod(col(ms), F.lit(86_400_000))
+    part = lambda by, of: F.floor(ms / by) % of
+    return F.format_string("%02d:%02d:%02d.%03d", part(3_600_000, 24), part(60_000, 60), part(1000, 60), part(1, 1000))
+
+
+def delta_json(deltas: DataFrame) -> DataFrame:
+    """value: a delta row as the JSON object that devices read; what an action does not carry is left out."""
+    has = lambda c, *actions: F.when(F.col("action").isin(*actions), F.col(c)).alias(c)
+    fields = ["action", "path", has("old_path", "renamed"), has("hash", "added", "modified", "renamed"), has("size", "added", "modified"), has("mtime_ms", "added", "modified")]
+    return deltas.select(F.to_json(F.struct(*fields)).alias("value"))
+
+
+def history_json(history: DataFrame) -> DataFrame:
+    """value: a version row as a JSON object; a version without a parent says so by null."""
+    row = F.struct(F.col("root_hash").alias("root"), F.col("parent_hash").alias("parent"), "created_ms", "device_id", "total_files", "current")
+    return history.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def capped_strings(json: Column | str, field: str, most: int) -> Column:
+    """The first ``most`` strings of a JSON array field, without its other values; empty if there is no such array."""
+    cells = F.try_variant_get(F.try_parse_json(col(json)), f"$.{field}", "array<variant>")
+    strings = F.transform(F.filter(cells, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    return F.slice(F.coalesce(strings, F.array().cast("array<string>")), 1, most)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,49 @@ def ordered_hash(parts: Column, separator: str = "") -> Column:
     return F.sha2(F.array_join(parts, separator), 256)
 
 
+def u64_bytes(n: Column | str) -> Column:
+    """A whole number's eight bytes, least first, as the incremental hash takes numbers."""
+    digits = F.lpad(F.hex(col(n).cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
+
+
+def hash_groups(rows: DataFrame, key: str, order: str, data: str = "data") -> DataFrame:
+    """key, parts, bytes and hash of each group's pieces behind each other, in order.
+
+    The hash runs over the pieces as they come by, one at a time, so a group of any size needs no memory of its own; a
+    null piece counts as empty, and the pieces of a null key are a group.
+    """
+    kind = dict(rows.dtypes)[key]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, n, size, begun = None, hashlib.sha256(), 0, 0, False
+        out: list[tuple] = []
+        for part in parts:
+            keys, pieces = part.column(0).to_pylist(), part.column(1)
+            for i, k in enumerate(keys):
+                if begun and k != now:
+                    out.append((now, n, size, state.hexdigest()))
+                    state, n, size = hashlib.sha256(), 0, 0
+                now, begun = k, True
+                piece = pieces[i].as_py() or b""
+                state.update(piece)
+                n, size = n + 1, size + len(piece)
+            if out:
+                yield table(out, part.schema.field(0).type)
+                out = []
+            own = part.schema.field(0).type
+        if begun:
+            yield table([(now, n, size, state.hexdigest())], own)
+
+    def table(out: list[tuple], own: pa.DataType) -> pa.RecordBatch:
+        kinds = (own, pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[key, "parts", "bytes", "hash"])
+
+    own = rows.select(F.col(key), F.col(data).cast("binary").alias("__data"), F.col(order).alias("__order"))
+    dealt = own.repartition(key).sortWithinPartitions(key, "__order")
+    return dealt.select(key, "__data").mapInArrow(run, f"`{key}` {kind}, parts long, bytes long, hash string")
+
+
 def set_digest(*fields: Column) -> Column:
     """A digest of a group's set of rows that needs no order: XOR of the four words of each row's SHA-256, and their
     number. It combines on the map side, so a group of any size costs one row a task."""

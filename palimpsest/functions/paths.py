@@ -44,6 +44,10 @@ def is_hash(text: Column | str) -> Column:
     return F.coalesce(col(text).rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
 
 
+#: Fixed value: the characters that a device's name may not have in a file name.
+UNSAFE = r'[\\/:*?"<>|()]'
+
+
 def conflict_copy_path(path: Column | str, device: Column | str, when: Column) -> Column:
     """The name of the copy that keeps the losing side: ``stem (conflict device date time).ext``.
 
@@ -52,11 +56,12 @@ def conflict_copy_path(path: Column | str, device: Column | str, when: Column) -
     path = col(path)
     ext = F.regexp_extract(path, r"[^/](\.[^./]*)$", 1)
     stem = F.substr(path, F.lit(1), F.length(path) - F.length(ext))
-    name = F.trim(F.regexp_replace(col(device), r'[\\/:*?"<>|()]', "-"))
+    name = F.trim(F.regexp_replace(col(device), UNSAFE, "-"))
     name = F.when(name == "", "device").otherwise(name)
     return F.concat(stem, F.lit(" (conflict "), name, F.lit(" "), F.date_format(when, "yyyy-MM-dd HHmm"), F.lit(")"), ext)
 
 
+#: Fixed value: what the names of conflict copies look like.
 CONFLICT_COPY = r"^(.*) \(conflict [^)]+\)(\.[^./]+)?$"
 
 

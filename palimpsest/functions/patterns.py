@@ -30,7 +30,7 @@ def _client_glob(glob: str) -> str:
 
 
 def _server_glob(glob: str) -> str:
-    """A trailing literal need only end the segment: it may overlap what the middle matched, so it is a lookahead."""
+    """Literals between stars match as early as they can, the last one ends the segment."""
     if "*" not in glob:
         return _quote(glob)
     first, *middle, last = glob.split("*")

@@ -1,13 +1,15 @@
 """Functions for SQL text."""
 
-from __future__ import annotations
-
 import hashlib
+import re
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from palimpsest.functions.chunking import cut_points
+from palimpsest.functions.patterns import compile_pattern
 from palimpsest.functions.textops import text_merge3, unified_diff
 from palimpsest.model import CHUNK_AVG, CHUNK_MAX, CHUNK_MIN
 from palimpsest.operators.logs import split_frames
@@ -42,8 +44,26 @@ SQL_FUNCTIONS = {
 }
 
 
+@F.pandas_udf(BooleanType())
+def path_matches(path: pd.Series, patterns: pd.Series, dialect: pd.Series) -> pd.Series:
+    """path_matches(path, patterns, dialect): whether any of an array of patterns matches, as ``patterns.path_matches``."""
+    known: dict[tuple, list[re.Pattern]] = {}
+
+    def match(p, rules, kind) -> bool:
+        if p is None or rules is None:
+            return False
+        key = (kind, *rules)
+        if key not in known:
+            known[key] = [re.compile(r, re.S) for r in (compile_pattern(x, kind) for x in rules if x is not None) if r]
+        norm = re.sub(r"^\.?/" if kind == "client" else r"^(?:\./)*/*", "", p)
+        return bool(norm) and any(r.search(norm) for r in known[key])
+
+    return pd.Series([match(*row) for row in zip(path, patterns, dialect, strict=True)], dtype=bool)
+
+
 def register_functions(spark: SparkSession) -> None:
-    """content_hash, top_prefix, is_text_path, sync_strategy, classify_sync, text_merge3, unified_diff, fastcdc, split_frames."""
+    """content_hash, top_prefix, is_text_path, path_matches, sync_strategy, classify_sync, text_merge3, unified_diff, fastcdc,
+    split_frames."""
     from palimpsest.functions.paths import TEXT_EXTENSIONS
     from palimpsest.functions.patterns import glob_regex
     from palimpsest.functions.rules import DEFAULT_RULES
@@ -53,6 +73,7 @@ def register_functions(spark: SparkSession) -> None:
     bodies = {"is_text_path": f"lower(substring_index(path, '.', -1)) IN ({quoted})", "sync_strategy": f"CASE {arms} END"}
     for head, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body or bodies[head.split('(')[0]]}")
+    spark.udf.register("path_matches", path_matches)
     spark.udf.register("text_merge3", text_merge3())
     spark.udf.register("unified_diff", unified_diff())
     spark.udtf.register("fastcdc", FastCdc)

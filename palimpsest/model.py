@@ -19,6 +19,8 @@ ONLINE_MS, TOUCH_MS, PRESENCE_MS, DEBOUNCE_MS = 300_000, 30_000, 90_000, 3_000
 ENROLL_MS, TICKET_MS, BYPASS_MS, REVOKED_MS = 600_000, 600_000, 900_000, 30 * 86_400_000
 #: The guard's defaults: mtime regressions allowed, clock skew, per cent of the files, floor.
 GUARD_REGRESSIONS, GUARD_SKEW_MS, GUARD_PCT, GUARD_FLOOR = 25, 43_200_000, 25, 200
+#: A device forgets others' presence that is older; vaults that one subscription may name.
+PEER_MS, MOST_VAULTS = 120_000, 16
 HISTORY_LIMIT, STATS_LIMIT, JOURNAL_CAP, MAX_FRAME = 50, 300, 10_000, 4 << 20
 
 ENTRY = T.StructType([T.StructField("path", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("mtime_ms", T.LongType()), T.StructField("size_bytes", T.LongType())])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.model import DEBOUNCE_MS, JOURNAL_CAP, MAX_FRAME, PRESENCE_MS, TOUCH_MS
+from palimpsest.operators import ranges
 
 
 def presence(events: DataFrame, now_ms: int, ttl_ms: int = PRESENCE_MS) -> DataFrame:
@@ -36,7 +37,7 @@ def throttle(events: DataFrame, key: str, ts_ms: str, every_ms: int = TOUCH_MS)
     """(key, ts_ms) of the events that pass: at least ``every_ms`` after the last one that passed, not the last one.
 
     Events stream through their task by key and time; only the last passed time of one key is held, so a key of any
-    size needs no memory of its own.
+    size needs no memory of its own. Each answer depends on the one before, so a key's events take one task.
     """
     kinds = dict(events.select(key, ts_ms).dtypes)
 
@@ -56,12 +57,24 @@ def throttle(events: DataFrame, key: str, ts_ms: str, every_ms: int = TOUCH_MS)
     return rows.repartition(n, key).sortWithinPartitions(key, ts_ms).mapInArrow(run, f"{key} {kinds[key]}, {ts_ms} {kinds[ts_ms]}")
 
 
-def collapse_runs(lines: DataFrame, stream: str, order: list[str], value: str) -> DataFrame:
-    """Per stream, runs of equal lines in order: stream, run (from 0), value, and how often it was repeated after that."""
-    w = Window.partitionBy(stream).orderBy(*order)
-    marked = lines.withColumn("__new", F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("__new").over(w) - 1)
-    return runs.groupBy(stream, "run", value).agg((F.count(F.lit(1)) - 1).alias("repeats"))
+def collapse_runs(lines: DataFrame, stream: str, order: list[str], value: str, cells: int | None = None) -> DataFrame:
+    """Per stream, runs of equal lines in order: stream, run (from 0), value, and how often it was repeated after that.
+
+    A stream is ranked cell by cell, ranges of its first order column, so one of any length is dealt over many tasks; a
+    cell learns the line before it and the runs before it from one row a cell.
+    """
+    own = lines.select(F.col(stream).alias("s"), F.col(value).alias("v"), F.struct(*order).alias("o"), F.col(order[0]).alias("first"))
+    own = own.withColumn("cell", ranges.cell_of(own, "first", cells))
+    inside, between = Window.partitionBy("s", "cell").orderBy("o"), Window.partitionBy("s").orderBy("cell")
+    ends = own.groupBy("s", "cell").agg(F.max_by(F.struct("v"), "o").alias("end")).select("s", "cell", F.lag("end").over(between).alias("lead"))
+    near = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    met = own.alias("l").join(ends.alias("e"), near("l.s", "e.s") & near("l.cell", "e.cell")).select("l.*", "e.lead")
+    before = F.when(F.row_number().over(inside) == 1, F.col("lead")).otherwise(F.lag(F.struct("v")).over(inside))
+    marked = met.withColumn("new", F.when(before.isNotNull() & before["v"].eqNullSafe(F.col("v")), 0).otherwise(1).cast("long"))
+    counts = marked.groupBy("s", "cell").agg(F.sum("new").alias("c")).select("s", "cell", (F.sum("c").over(between) - F.col("c")).alias("runs"))
+    ranked = marked.withColumn("local", F.sum("new").over(inside)).alias("l").join(counts.alias("c"), near("l.s", "c.s") & near("l.cell", "c.cell"))
+    rows = ranked.select(F.col("l.s").alias(stream), (F.col("c.runs") + F.col("l.local") - 1).alias("run"), F.col("l.v").alias(value))
+    return rows.groupBy(stream, "run", value).agg((F.count(F.lit(1)) - 1).alias("repeats"))
 
 
 def journal_tail(journal: DataFrame, cap: int = JOURNAL_CAP) -> DataFrame:
@@ -85,11 +98,18 @@ def accepted(updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return updates.where((size > 0) & (size <= MAX_FRAME)), updates.where(size > MAX_FRAME)
 
 
+def _joined(value: str) -> Column:
+    """A group's binary values behind each other, in order of seq."""
+    return F.expr(f"listagg({value}) WITHIN GROUP (ORDER BY seq)")
+
+
 def encode_log(updates: DataFrame) -> DataFrame:
-    """vault, note_key, log: each note's updates in order of seq, framed."""
-    good, _ = accepted(updates)
-    rows = good.select("vault", "note_key", "seq", F.hex(frame(F.col("update"))).alias("f")).groupBy("vault", "note_key").agg(F.array_sort(F.collect_list(F.struct("seq", "f"))).alias("l"))
-    return rows.select("vault", "note_key", F.unhex(F.array_join(F.transform("l", lambda x: x["f"]), "")).alias("log"))
+    """vault, note_key, log: each note's updates in order of seq, framed; an update that is too large for a log is an
+    error, so part them by ``accepted`` first. Empty updates leave no frame."""
+    size = F.octet_length("update") > MAX_FRAME
+    told = F.when(size, F.raise_error(F.lit("an update is too large for a frame")).cast("binary")).otherwise(frame(F.col("update")))
+    rows = updates.where(F.octet_length("update") > 0).select("vault", "note_key", "seq", told.alias("f"))
+    return rows.groupBy("vault", "note_key").agg(_joined("f").alias("log"))
 
 
 def split_frames(log: bytes) -> list[bytes]:
@@ -124,16 +144,16 @@ def compact_log(snapshots: DataFrame) -> DataFrame:
 
 
 def compact_notes(updates: DataFrame) -> DataFrame:
-    """vault, note_key, bytes, refused, log: each note's updates in order of seq as one frame.
+    """vault, note_key, frames, bytes, refused, log: each note's updates in order of seq as one frame.
 
-    A note above ``MAX_FRAME`` bytes is refused and its row has no log. Sizes are summed first, so the contents of a
+    A note above ``MAX_FRAME`` bytes is refused: it keeps the frames it has, ``frames`` says how many, and its row has no
+    log. Sizes are summed first, so the contents of a
     refused note are never gathered; there is at most one refused note for each ``MAX_FRAME`` bytes of the table.
     """
     key = ["vault", "note_key"]
-    sizes = updates.groupBy(*key).agg(F.sum(F.octet_length("update")).cast("long").alias("bytes")).where(F.col("bytes") > MAX_FRAME)
+    sizes = updates.groupBy(*key).agg(F.sum(F.octet_length("update")).cast("long").alias("bytes"), F.count_if(F.octet_length("update") > 0).alias("frames")).where(F.col("bytes") > MAX_FRAME)
     met = F.col("u.vault").eqNullSafe(F.col("r.vault")) & F.col("u.note_key").eqNullSafe(F.col("r.note_key"))
     small = updates.alias("u").join(F.broadcast(sizes.select(*key).alias("r")), met, "left_anti")
-    whole = small.select(*key, "seq", F.hex("update").alias("h")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "h"))).alias("l"))
-    snapshots = whole.select(*key, F.unhex(F.array_join(F.transform("l", lambda x: x["h"]), "")).alias("snapshot"))
-    good = compact_log(snapshots).select(*key, (F.octet_length("log") - 4).cast("long").alias("bytes"), F.lit(False).alias("refused"), "log")
-    return good.unionByName(sizes.select(*key, "bytes", F.lit(True).alias("refused"), F.lit(None).cast("binary").alias("log")))
+    snapshots = small.groupBy(*key).agg(F.coalesce(_joined("`update`"), F.lit(b"")).alias("snapshot"))
+    good = compact_log(snapshots).select(*key, F.lit(1).cast("long").alias("frames"), (F.octet_length("log") - 4).cast("long").alias("bytes"), F.lit(False).alias("refused"), "log")
+    return good.unionByName(sizes.select(*key, "frames", "bytes", F.lit(True).alias("refused"), F.lit(None).cast("binary").alias("log")))

@@ -23,13 +23,8 @@ class MergeResult:
     merged_blobs: DataFrame | None  # hash, data of texts merged by line
 
 
-def prefix_actions(rows: DataFrame) -> DataFrame:
-    """prefix, act (base, a, b, drop, recurse) and auto, from rows (side, prefix, entry columns).
-
-    A prefix's state is its set of (path, hash, mtime, size), so a changed mtime is a changed prefix.
-    """
-    state = rows.groupBy("prefix", "side").agg(set_digest(F.col("path"), F.col("hash"), F.col("mtime_ms"), F.col("size_bytes")).alias("d"))
-    by = state.groupBy("prefix").agg(*[F.max(F.when(F.col("side") == s, F.col("d"))).alias(s) for s in SIDES])
+def _actions(by: DataFrame) -> DataFrame:
+    """prefix, act and auto from a digest of each side's state, null where the side lacks the prefix."""
     base, a, b = (F.col(s) for s in SIDES)
     no = lambda c: c.isNull()
     act = (
@@ -47,6 +42,24 @@ def prefix_actions(rows: DataFrame) -> DataFrame:
     return by.select("prefix", act.alias("act")).withColumn("auto", F.col("act").isin("a", "b"))
 
 
+def prefix_actions(rows: DataFrame) -> DataFrame:
+    """prefix, act (base, a, b, drop, recurse) and auto, from rows (side, prefix, entry columns).
+
+    A prefix's state is its set of (path, hash, mtime, size), so a changed mtime is a changed prefix.
+    """
+    state = rows.groupBy("prefix", "side").agg(set_digest(F.col("path"), F.col("hash"), F.col("mtime_ms"), F.col("size_bytes")).alias("d"))
+    return _actions(state.groupBy("prefix").agg(*[F.max(F.when(F.col("side") == s, F.col("d"))).alias(s) for s in SIDES]))
+
+
+def hash_actions(base: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """The same from the prefixes' hashes (prefix, prefix_hash) of the three sides; no entry is read."""
+    rows = None
+    for side, own in zip(SIDES, (base, a, b), strict=True):
+        own = own.select(F.lit(side).alias("side"), "prefix", "prefix_hash")
+        rows = own if rows is None else rows.unionByName(own)
+    return _actions(rows.groupBy("prefix").agg(*[F.max(F.when(F.col("side") == s, F.col("prefix_hash"))).alias(s) for s in SIDES]))
+
+
 def _outcome() -> tuple[Column, Column]:
     """Which side an entry comes from (null: dropped) and what is counted, when its prefix is merged by entry."""
     base, a, b = (F.col(f"{s}.hash") for s in SIDES)
@@ -71,17 +84,17 @@ def _outcome() -> tuple[Column, Column]:
     return take, counted
 
 
-def merge_rows(base: DataFrame, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_rows(base: DataFrame, a: DataFrame, b: DataFrame, actions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A row for each path (path, base, a, b, act, take, counted), and the prefixes' actions.
 
-    The three sides meet in one shuffle by path, not in two joins.
+    The three sides meet in one shuffle by path, not in two joins. ``actions`` are those that are known already.
     """
     rows = None
     for side, entries in zip(SIDES, (base, a, b), strict=True):
         own = entries.select(F.lit(side).alias("side"), *ENTRY_COLS)
         rows = own if rows is None else rows.unionByName(own)
     rows = rows.withColumn("prefix", top_prefix("path"))
-    actions = prefix_actions(rows)
+    actions = prefix_actions(rows) if actions is None else actions
     entry = F.struct("hash", "mtime_ms", "size_bytes")
     by_path = rows.groupBy("prefix", "path").agg(*[F.min(F.when(F.col("side") == s, entry)).alias(s) for s in SIDES])
     take, counted = _outcome()
@@ -114,9 +127,13 @@ def line_merges(rows: DataFrame, blobs: DataFrame, compat: str = "lossless") ->
     return out.withColumn("hash", F.sha2("data", 256))
 
 
-def merge_trees(base: DataFrame, a: DataFrame, b: DataFrame, blobs: DataFrame | None = None, compat: str = "lossless") -> MergeResult:
-    """The merge of A and B over their base, all as entries; ``blobs`` (hash, data) allows merges by line."""
-    rows, actions = merge_rows(base, a, b)
+def merge_trees(base: DataFrame, a: DataFrame, b: DataFrame, blobs: DataFrame | None = None, compat: str = "lossless", actions: DataFrame | None = None) -> MergeResult:
+    """The merge of A and B over their base, all as entries; ``blobs`` (hash, data) allows merges by line.
+
+    With ``actions`` (of ``hash_actions``) the sides may hold the entries of the prefixes to recurse into only; then the
+    merged entries are those prefixes', and the counters are the whole merge's.
+    """
+    rows, actions = merge_rows(base, a, b, actions)
     lines = line_merges(rows, blobs, compat) if blobs is not None else None
     chosen = F.when(F.col("take") == "base", F.col("base")).when(F.col("take") == "a", F.col("a")).when(F.col("take") == "b", F.col("b"))
     kept = rows.where("take IS NOT NULL").withColumn("e", chosen)

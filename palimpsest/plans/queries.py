@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import chunking, formats, hashing, patterns, paths, rules, textops
-from palimpsest.model import TOUCH_MS, ZERO_HASH
-from palimpsest.operators import diff, guard, history, logs, merge, scan, tree
+from palimpsest.functions.register import register_functions
+from palimpsest.model import MOST_VAULTS, TOUCH_MS, ZERO_HASH
+from palimpsest.operators import diff, guard, history, logs, merge, ranges, registry, scan, tree
 from palimpsest.plans.fixtures import Snapshots, oracle_ctes
+from palimpsest.session import shared_dir
 from palimpsest.sources import tables
+from palimpsest.sources.files import register_sources
+from palimpsest.vault import GuardRejected, Vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +37,13 @@ def query(sql: str | None = None, ctes: bool = True):
     return put
 
 
+def staged(frame: DataFrame) -> DataFrame:
+    """What is read several times, written once to a shared folder."""
+    path = f"{shared_dir(frame.sparkSession)}/stage"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 LEAF = 100
 ENTRIES = "path, hash, mtime_ms, size_bytes"
 
@@ -251,14 +262,53 @@ def file_diff(spark, sf_dir):
     return rows.select("doc_id", "d.kind", count("+", "+++ ").alias("added"), count("-", "--- ").alias("removed"))
 
 
-@query()
+#: What a merge by line makes of both edits: of a text of several lines both, of one line a conflict in which side A stays.
+_BOTH = f"""{_EDITS},
+s AS (SELECT doc_id, path, m, t AS x, '{_HEAD}' || chr(10) || t AS a, t || chr(10) || '{_TAIL}' AS b FROM src WHERE t <> ''),
+k AS (SELECT *, (contains(rtrim(x, chr(10)), chr(10)) OR ends_with(x, chr(10))) AND strlen(a) < 1048576 AND strlen(b) < 1048576
+                AND strlen(a) + strlen(b) - strlen(x) < 1048576 AS merges FROM s),
+o AS (SELECT path, m, merges, CASE WHEN merges THEN a || chr(10) || '{_TAIL}' || CASE WHEN ends_with(x, chr(10)) THEN chr(10) ELSE '' END ELSE a END AS r FROM k)"""
+
+
+def _text_sides(spark, sf_dir) -> tuple[list[DataFrame], DataFrame]:
+    """Entries of base, a and b, whose texts differ by a head and a tail, and their contents."""
+    docs = Snapshots(spark, sf_dir).src.where("t <> ''")
+    texts = [F.col("t"), F.concat(F.lit(f"{_HEAD}\n"), "t"), F.concat("t", F.lit(f"\n{_TAIL}"))]
+    sides = [docs.select("path", F.sha2(x, 256).alias("hash"), F.col("m").alias("mtime_ms"), F.octet_length(x).cast("long").alias("size_bytes"), x.cast("binary").alias("data")) for x in texts]
+    return [s.drop("data") for s in sides], sides[0].unionByName(sides[1]).unionByName(sides[2]).select("hash", "data")
+
+
+@query(_BOTH + "SELECT path, sha256(r) AS hash, m AS mtime_ms, CAST(strlen(r) AS BIGINT) AS size_bytes FROM o")
 def merge_with_texts(spark, sf_dir):
     """The merge with contents at hand: one side edits the first line, the other the last."""
-    docs = Snapshots(spark, sf_dir).src.where("t <> ''")
-    texts = {"base": F.col("t"), "a": F.concat(F.lit(f"{_HEAD}\n"), "t"), "b": F.concat("t", F.lit(f"\n{_TAIL}"))}
-    sides = {n: docs.select("path", F.sha2(x, 256).alias("hash"), F.col("m").alias("mtime_ms"), F.octet_length(x).cast("long").alias("size_bytes"), x.cast("binary").alias("data")) for n, x in texts.items()}
-    blobs = sides["base"].unionByName(sides["a"]).unionByName(sides["b"]).select("hash", "data")
-    return merge.merge_trees(*(s.drop("data") for s in sides.values()), blobs=blobs).entries
+    sides, blobs = _text_sides(spark, sf_dir)
+    return merge.merge_trees(*sides, blobs=blobs).entries
+
+
+@query(_BOTH + "SELECT CAST(0 AS BIGINT) AS auto_resolved, count(*) FILTER (merges) AS text_merged, count(*) FILTER (NOT merges) AS conflicts FROM o")
+def merge_text_counters(spark, sf_dir):
+    sides, blobs = _text_sides(spark, sf_dir)
+    return merge.merge_trees(*sides, blobs=blobs).metrics
+
+
+#: Edits within a text: a new line after the first, and the last line deleted.
+_INNER = """
+l AS (SELECT doc_id, t, string_split(t, chr(10)) AS p FROM src WHERE t <> '' AND NOT ends_with(t, chr(10)) AND NOT contains(t, chr(13)) AND len(string_split(t, chr(10))) >= 4),
+u AS (SELECT * FROM l WHERE len(list_distinct(p)) = len(p) AND NOT list_contains(p, 'A LINE BETWEEN'))
+"""
+
+
+@query(_INNER + """SELECT doc_id, 'merged' AS status, sha256(array_to_string(list_concat(list_concat(p[1:1], ['A LINE BETWEEN']), p[2:len(p) - 1]), chr(10))) AS content_sha256 FROM u""")
+def text_merge3_inside(spark, sf_dir):
+    """One side inserts a line after the first, the other deletes the last, in texts of different lines."""
+    p = F.split("t", "\n", -1)
+    rows = Snapshots(spark, sf_dir).src.where("t <> ''").where(~F.endswith("t", F.lit("\n")) & ~F.contains("t", F.lit("\r"))).withColumn("p", p)
+    rows = rows.where((F.size("p") >= 4) & (F.size(F.array_distinct("p")) == F.size("p")) & ~F.array_contains("p", "A LINE BETWEEN"))
+    joined = lambda lines: F.array_join(lines, "\n")
+    a = joined(F.concat(F.slice("p", 1, 1), F.array(F.lit("A LINE BETWEEN")), F.slice("p", 2, F.size("p") - 1)))
+    b = joined(F.slice("p", 1, F.size("p") - 1))
+    rows = rows.select("doc_id", "t", a.alias("a"), b.alias("b")).withColumn("m", textops.text_merge3()("t", "a", "b"))
+    return rows.select("doc_id", "m.status", F.sha2("m.content", 256).alias("content_sha256"))
 
 
 # --- guard, history, dashboard ------------------------------------------------------------------------------------------
@@ -682,7 +732,7 @@ def content_with_manifests(spark, sf_dir):
 
 @query()
 def chunk_similarity(spark, sf_dir):
-    """How many chunks an edit leaves: all texts as one file for each source, before and after."""
+    """How many chunks an edit leaves: each text cut into chunks, before and after a tail is added to it."""
     src = Snapshots(spark, sf_dir).src.where("t <> ''")
     a, b = (chunking.chunk_files(src.select(x.cast("binary").alias("data")), *_SIZES) for x in (F.col("t"), F.concat("t", F.lit(_TAIL))))
     return chunking.chunk_similarity(a, b)
@@ -700,10 +750,8 @@ def batch_hashes(spark, sf_dir):
 @query("SELECT doc_id, CAST(sum(strlen(t)) OVER (PARTITION BY top ORDER BY doc_id) - strlen(t) AS BIGINT) AS \"offset\" FROM src")
 def chunk_offsets(spark, sf_dir):
     """Running offsets of contents that are laid one behind the other, by folder."""
-    from pyspark.sql import Window
-
-    size = F.octet_length("t").cast("long")
-    return Snapshots(spark, sf_dir).src.select("doc_id", (F.sum(size).over(Window.partitionBy("top").orderBy("doc_id")) - size).alias("offset"))
+    src = Snapshots(spark, sf_dir).src.select("doc_id", "top", F.octet_length("t").cast("long").alias("size"))
+    return ranges.running_total(src, "top", "doc_id", F.col("size"), "offset").select("doc_id", "offset")
 
 
 # --- logs ---------------------------------------------------------------------------------------------------------------
@@ -760,12 +808,15 @@ def run_collapse(spark, sf_dir):
     return logs.collapse_runs(_frames(spark, sf_dir), "device", ["updated_ms", "seq"], "state")
 
 
-@query("""SELECT 'v' AS vault, sha256(top || source) AS note_key, row_number() OVER (PARTITION BY top || source ORDER BY doc_id) - 1 AS seq, sha256(t) AS update_hash FROM src WHERE t <> ''""")
+@query("""SELECT 'v' AS vault, sha256(top || source) AS note_key, CASE WHEN strlen(t) <= 4194304 THEN row_number() OVER (PARTITION BY top || source, strlen(t) <= 4194304 ORDER BY doc_id) - 1 END AS seq,
+  sha256(t) AS update_hash, strlen(t) > 4194304 AS refused FROM src WHERE t <> ''""")
 def oplog_frames(spark, sf_dir):
-    """Logs written and split again: each note's updates come back in order."""
+    """Logs written and split again: each note's updates come back in order; those too large for a log are rows, too."""
     src = Snapshots(spark, sf_dir).src
     updates = src.select(F.lit("v").alias("vault"), F.sha2(F.concat("top", "source"), 256).alias("note_key"), F.col("doc_id").alias("seq"), F.col("t").cast("binary").alias("update"))
-    return logs.decode_log(logs.encode_log(updates)).select("vault", "note_key", "seq", F.sha2("update", 256).alias("update_hash"))
+    good, large = logs.accepted(updates)
+    told = lambda rows, seq, refused: rows.select("vault", "note_key", seq.alias("seq"), F.sha2("update", 256).alias("update_hash"), F.lit(refused).alias("refused"))
+    return told(logs.decode_log(logs.encode_log(good)), F.col("seq"), False).unionByName(told(large, F.lit(None).cast("long"), True))
 
 
 # --- stores and small functions -----------------------------------------------------------------------------------------
@@ -820,14 +871,17 @@ def root_changes(spark, sf_dir):
     return presence.frames(presence.root_changes(moves), "me").select("vault", "root")
 
 
-@query("SELECT 'v' AS vault, sha256(top || source) AS note_key, 1 AS frames, sha256(string_agg(t, '' ORDER BY doc_id)) AS update_hash FROM src GROUP BY top, source HAVING sum(strlen(t)) <= 4194304")
+@query("""SELECT 'v' AS vault, sha256(top || source) AS note_key, CAST(sum(strlen(t)) AS BIGINT) AS bytes, sum(strlen(t)) > 4194304 AS refused,
+  CASE WHEN sum(strlen(t)) <= 4194304 THEN 1 ELSE count(*) FILTER (t <> '') END AS frames,
+  CASE WHEN sum(strlen(t)) <= 4194304 THEN sha256(string_agg(t, '' ORDER BY doc_id)) END AS update_hash FROM src GROUP BY top, source""")
 def oplog_compaction(spark, sf_dir):
-    """Each note's log as one frame of all its contents, split again. A note is all texts of a folder and source, and its
-    SQL leaves out notes above 4 MiB; ``oplog_note_compaction`` reports them."""
+    """Each note's log after its compaction, a note being all texts of a folder and source: one frame of all its contents,
+    split again; a note above 4 MiB is refused and keeps the frames that it has."""
     src = Snapshots(spark, sf_dir).src
     updates = src.select(F.lit("v").alias("vault"), F.sha2(F.concat("top", "source"), 256).alias("note_key"), F.col("doc_id").alias("seq"), F.col("t").cast("binary").alias("update"))
-    rows = logs.decode_log(logs.compact_notes(updates).where("NOT refused"))
-    return rows.groupBy("vault", "note_key").agg(F.count(F.lit(1)).alias("frames"), F.max(F.sha2("update", 256)).alias("update_hash"))
+    done = staged(logs.compact_notes(updates))
+    one = logs.decode_log(done.where("NOT refused")).select("note_key", F.sha2("update", 256).alias("update_hash"))
+    return done.drop("log").join(one, "note_key", "left")
 
 
 @query("""SELECT 'v' AS vault, sha256(path) AS note_key, CAST(strlen(t) AS BIGINT) AS bytes, strlen(t) > 4194304 AS refused,
@@ -836,6 +890,235 @@ def oplog_note_compaction(spark, sf_dir):
     """Each document's log, whose updates are pieces of it, as one frame, split again; refused notes are rows, too."""
     src = Snapshots(spark, sf_dir).src
     pieces = src.select(F.sha2("path", 256).alias("note_key"), F.posexplode_outer(F.regexp_extract_all("t", F.lit("(?s).{1,4096}"), F.lit(0))).alias("seq", "piece"))
-    done = logs.compact_notes(pieces.select(F.lit("v").alias("vault"), "note_key", "seq", F.coalesce("piece", F.lit("")).cast("binary").alias("update")))
+    done = staged(logs.compact_notes(pieces.select(F.lit("v").alias("vault"), "note_key", "seq", F.coalesce("piece", F.lit("")).cast("binary").alias("update"))))
     good = logs.decode_log(done.where("NOT refused")).select("vault", "note_key", F.octet_length("update").cast("long").alias("bytes"), F.lit(False).alias("refused"), F.sha2("update", 256).alias("update_hash"))
     return good.unionByName(done.where("refused").select("vault", "note_key", "bytes", "refused", F.lit(None).cast("string").alias("update_hash")))
+
+
+# --- a vault on disk ----------------------------------------------------------------------------------------------------
+
+
+def _vault(spark, sf_dir, **how) -> tuple[Vault, Snapshots, str]:
+    """A vault in a folder of its own that holds the base snapshot, and its root."""
+    s = Snapshots(spark, sf_dir)
+    vault = Vault(spark, f"{shared_dir(spark)}/vault", LEAF, **how)
+    return vault, s, vault.push(s.base, None, "first", 1).root_hash
+
+
+@query(_DELTAS.format(old="base", new="a"))
+def vault_diff(spark, sf_dir):
+    """Two pushes, and the difference of their versions from the folders that differ."""
+    vault, s, first = _vault(spark, sf_dir)
+    return vault.diff(first, vault.push(s.a, first, "laptop", 2).root_hash)
+
+
+@query(_MERGE + """SELECT path, CASE take WHEN 'base' THEN x WHEN 'a' THEN a ELSE b END AS hash, CASE take WHEN 'base' THEN xm WHEN 'a' THEN am ELSE bm END AS mtime_ms,
+       CASE take WHEN 'base' THEN xs WHEN 'a' THEN az ELSE bs END AS size_bytes FROM t WHERE take IS NOT NULL""")
+def vault_push_merge(spark, sf_dir):
+    """A push from an old version is merged with the current one, folder by folder."""
+    vault, s, first = _vault(spark, sf_dir)
+    vault.push(s.a, first, "laptop", 2)
+    return vault.snapshot(vault.push(s.b, first, "phone", 3).root_hash)
+
+
+@query(_MERGE + f"SELECT path, coalesce(x, '{ZERO_HASH}') AS base_hash, a AS side_a_hash, b AS side_b_hash FROM t WHERE counted = 'conflict'")
+def vault_push_conflicts(spark, sf_dir):
+    vault, s, first = _vault(spark, sf_dir)
+    vault.push(s.a, first, "laptop", 2)
+    return vault.push(s.b, first, "phone", 3).conflicts
+
+
+@query("""
+v AS (SELECT * FROM (VALUES (2, 'a', 'base'), (3, 'b', 'a')) x(created_ms, new, old)),
+e AS (SELECT 'base' AS side, path, hash, size_bytes FROM base UNION ALL SELECT 'a', path, hash, size_bytes FROM a UNION ALL SELECT 'b', path, hash, size_bytes FROM b),
+n AS (SELECT created_ms, path, hash, size_bytes FROM v JOIN e ON e.side = v.new), o AS (SELECT created_ms, path, hash FROM v JOIN e ON e.side = v.old)
+SELECT CAST(coalesce(n.created_ms, o.created_ms) AS BIGINT) AS created_ms, count(*) AS files, CAST(coalesce(sum(n.size_bytes), 0) AS BIGINT) AS bytes
+FROM n FULL OUTER JOIN o ON n.created_ms = o.created_ms AND n.path = o.path WHERE n.hash IS DISTINCT FROM o.hash GROUP BY 1""")
+def vault_version_stats(spark, sf_dir):
+    """What each version of a vault changed, from the folders whose hashes differ from the parent's."""
+    vault, s, first = _vault(spark, sf_dir)
+    second = vault.push(s.a, first, "laptop", 2).root_hash
+    vault.push(s.b, second, "laptop", 3)
+    return vault.version_stats().join(vault.roots().select("root_hash", "created_ms"), "root_hash").select("created_ms", "files", "bytes")
+
+
+@query(f"SELECT {ENTRIES} FROM base")
+def vault_rollback(spark, sf_dir):
+    """After a rollback the first version's entries are current."""
+    vault, s, first = _vault(spark, sf_dir)
+    vault.push(s.a, first, "laptop", 2)
+    vault.rollback(first)
+    return vault.snapshot()
+
+
+@query(rf"""SELECT {ENTRIES} FROM base WHERE NOT (path LIKE 'es/%' OR list_contains(string_split(path, '/'), 'src3') OR path LIKE '%77.md'
+  OR path LIKE 'en/src0/%' OR regexp_matches(path, '(^|/)0[^/]*1[^/]*5\.md(/|$)'))""")
+def vault_purge(spark, sf_dir):
+    vault, _, _ = _vault(spark, sf_dir)
+    vault.purge(SERVER_PATTERNS, 2)
+    return vault.snapshot()
+
+
+@query("""
+d AS (SELECT count(*) FILTER (n.path IS NULL) AS deletions, count(*) FILTER (o.hash <> n.hash) AS content_changes FROM base o FULL OUTER JOIN (SELECT * FROM base WHERE path LIKE 'de/%') n ON o.path = n.path)
+SELECT 'blast_radius' AS reason, deletions, content_changes, true AS stays, true AS taken_when_approved, true AS once FROM d""")
+def vault_guard_enforced(spark, sf_dir):
+    """A push that drops most files is refused and changes nothing; with an approval it is taken, once."""
+    vault, s, first = _vault(spark, sf_dir, guard_mode="enforce", guard_limits={"floor": 2})
+    few = s.base.where("path LIKE 'de/%'")
+    told, stays, taken, once = None, False, False, False
+    try:
+        vault.push(few, first, "old", 2)
+    except GuardRejected as e:
+        told, stays = e.scan, vault.current() == first
+    vault.approve_bulk_change("old", 3)
+    second = vault.push(few, first, "old", 4).root_hash
+    taken = vault.current() == second
+    try:
+        vault.push(s.base.limit(0), second, "old", 5)
+    except GuardRejected:
+        once = True
+    row = (told.reason, told.deletions, told.content_changes, stays, taken, once)
+    return spark.createDataFrame([row], "reason string, deletions long, content_changes long, stays boolean, taken_when_approved boolean, once boolean")
+
+
+@query("SELECT path, sha256(content) AS data_hash, mtime_ms, size_bytes FROM a")
+def vault_export(spark, sf_dir):
+    """A version with its contents, small ones from blobs and large ones from their chunks."""
+    vault, s, first = _vault(spark, sf_dir)
+    blobs = s.blobs("a").dropDuplicates(["hash"])
+    small = F.octet_length("data") < 4096
+    vault.put_blobs(blobs.where(small))
+    chunks = staged(chunking.chunk_files(blobs.where(~small), *_SIZES))
+    vault.put_chunks(chunking.manifests(chunks), chunks)
+    root = vault.push(s.a, first, "laptop", 2).root_hash
+    return vault.export(root).select("path", F.sha2("data", 256).alias("data_hash"), "mtime_ms", "size_bytes")
+
+
+@query("SELECT doc_id AS ord, hash FROM a WHERE hash NOT IN (SELECT hash FROM base)")
+def vault_missing(spark, sf_dir):
+    vault, s, _ = _vault(spark, sf_dir)
+    vault.put_blobs(s.blobs("base"))
+    return vault.missing(s.full("a").select(F.col("doc_id").alias("ord"), "hash"))
+
+
+# --- devices, frames, JSON ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id % 7 END AS device_id FROM src""")
+def token_lookup(spark, sf_dir):
+    """Whose a token is: known ones, unknown ones and such that are none."""
+    src, k = Snapshots(spark, sf_dir).src, F.col("doc_id")
+    devices = spark.range(7).select(F.concat(F.lit("d"), "id").alias("device_id"), F.sha2(F.col("id").cast("string"), 256).alias("bearer_token"))
+    token = F.when(k % 3 == 0, F.sha2((k % 7).cast("string"), 256)).when(k % 3 == 1, F.sha2(k.cast("string"), 224)).otherwise(F.sha2(F.concat(F.lit("x"), k.cast("string")), 256))
+    return registry.lookup_tokens(src.select("doc_id", token.alias("token")), devices).select("doc_id", "device_id")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS seq, o_custkey AS ticket, 1000 + o_orderkey % 11 AS at_ms FROM orders),
+f AS (SELECT *, row_number() OVER (PARTITION BY ticket ORDER BY at_ms, seq) = 1 AS first FROM c)
+SELECT seq, CASE WHEN first AND ticket % 5 <> 0 AND at_ms <= 1000 + ticket % 9 THEN 'd' || ticket % 13 END AS device_id FROM f""", ctes=False)
+def ticket_claims(spark, sf_dir):
+    """Tickets are good for one claim, through their last millisecond; some are unknown."""
+    claims = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("ticket"), (1000 + F.col("o_orderkey") % 11).alias("at_ms"))
+    known = claims.select("ticket").distinct().where("ticket % 5 <> 0")
+    tickets = registry.issue(known.select("ticket", F.concat(F.lit("d"), (F.col("ticket") % 13).cast("string")).alias("device_id"), (F.col("ticket") % 9 + 1000 - 600_000).alias("created_ms")), "created_ms")
+    return registry.claim_tickets(claims, tickets).select("seq", "device_id")
+
+
+@query(f"""WITH {_EV}, m AS (SELECT event_id AS seq, vault, device FROM e), s AS (SELECT DISTINCT vault, user_id AS subscriber FROM (SELECT user_id, user_id % 5 AS vault FROM events WHERE user_id % 10 < 3))
+SELECT seq, subscriber FROM m JOIN s USING (vault) WHERE device <> subscriber""", ctes=False)
+def fan_out(spark, sf_dir):
+    """Each event for everyone who follows its vault but its own device."""
+    from palimpsest.streaming import presence
+
+    frames = _frames(spark, sf_dir)
+    subscribers = frames.where("device % 10 < 3").select("vault", F.col("device").alias("subscriber")).distinct()
+    return presence.fan_out(frames.select("vault", "device", F.col("seq").alias("value")), subscribers).select(F.col("value").alias("seq"), "subscriber")
+
+
+@query(f"""WITH {_EV}, l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY vault, device ORDER BY ms DESC, event_id DESC) = 1)
+SELECT s.subscriber, vault, substr(CAST(device AS VARCHAR), 1, 12) AS device, file, state FROM l JOIN (SELECT DISTINCT user_id AS subscriber, user_id % 5 AS vault FROM events WHERE user_id % 10 = 1) s USING (vault), now
+WHERE now - ms < {_TTL} AND device <> s.subscriber""", ctes=False)
+def presence_snapshot(spark, sf_dir):
+    """What fresh subscribers are told of who is where, read back from JSON."""
+    from palimpsest.streaming import presence
+
+    frames = _frames(spark, sf_dir)
+    live = logs.presence(frames, frames.agg(F.max("updated_ms")).first()[0], _TTL)
+    subscribers = frames.where("device % 10 = 1").select("vault", F.col("device").cast("string").alias("subscriber")).distinct()
+    told = presence.presence_snapshot(live, subscribers)
+    return told.select(F.col("subscriber").cast("long").alias("subscriber"), "vault", *[F.get_json_object("value", f"$.{c}").alias(c) for c in ("device", "file", "state")])
+
+
+@query(_D + """SELECT CASE WHEN action = 'deleted' THEN '{"action":"deleted","path":"' || path || '"}'
+  ELSE '{"action":"' || action || '","path":"' || path || '","hash":"' || hash || '","size":' || size || ',"mtime_ms":' || mtime_ms || '}' END AS value FROM d""")
+def delta_json(spark, sf_dir):
+    s = Snapshots(spark, sf_dir)
+    return formats.delta_json(diff.compute_deltas(s.base, s.b))
+
+
+@query(f"""WITH {_ROOTS} SELECT '{{"root":"' || root_hash || '","parent":' || coalesce('"' || parent_hash || '"', 'null') || ',"created_ms":' || created_ms || ',"device_id":"' || device_id || '","total_files":' || total_files
+  || ',"current":' || CASE WHEN root_hash = '{_NOW_ROOT}' THEN 'true' ELSE 'false' END || '}}' AS value FROM roots""", ctes=False)
+def history_json(spark, sf_dir):
+    return formats.history_json(history.history(_roots(spark, sf_dir), _NOW_ROOT, limit=None))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN [] ELSE list_transform(range(0, least(16, doc_id % 40)), lambda i: 'v' || i) END AS vaults FROM src""")
+def capped_vaults(spark, sf_dir):
+    """The vaults that a subscription's JSON names: strings only, sixteen at most."""
+    k = F.col("doc_id")
+    names = F.transform(F.when(k % 40 > 0, F.sequence(F.lit(0).cast("long"), k % 40 - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: F.concat(F.lit('"v'), i.cast("string"), F.lit('"')))
+    body = F.array_join(F.concat(F.array(F.lit("7"), F.lit("null")), names), ",")
+    text = F.when(k % 5 == 0, F.lit('{"vaults": "none"}')).otherwise(F.concat(F.lit('{"t": "sub", "vaults": ['), body, F.lit("]}")))
+    return Snapshots(spark, sf_dir).src.select("doc_id", formats.capped_strings(text, "vaults", MOST_VAULTS).alias("vaults"))
+
+
+@query("""SELECT path, path LIKE 'de/%' OR path LIKE '%7.md' OR regexp_matches(path, '(^|/)src1[^/](/|$)') AS client, path LIKE 'es/%' OR path LIKE '%77.md' AS server FROM src""")
+def sql_path_matches(spark, sf_dir):
+    """The patterns as a SQL function."""
+    register_functions(spark)
+    return spark.sql("SELECT path, path_matches(path, array('de/', '*7.md', 'src1?'), 'client') AS client, path_matches(path, array('es/', '*77.md'), 'server') AS server FROM {src}", src=Snapshots(spark, sf_dir).src)
+
+
+@query("""SELECT doc_id, sha256(t) AS hash, top || '/' AS prefix, strlen(t) >= 1048576 AS large, hex(encode(t)) AS hexed, to_base64(encode(t)) AS b64 FROM src""")
+def sql_functions(spark, sf_dir):
+    register_functions(spark)
+    src = Snapshots(spark, sf_dir).src
+    rows = spark.sql("SELECT doc_id, content_hash(CAST(t AS BINARY)) AS hash, top_prefix(concat(top, '/', path)) AS prefix, t FROM {src}", src=src)
+    return rows.select("doc_id", "hash", "prefix", chunking.should_chunk(F.octet_length("t")).alias("large"), F.hex("t").alias("hexed"), F.regexp_replace(F.base64(F.col("t").cast("binary")), "\r\n", "").alias("b64"))
+
+
+@query("SELECT top, count(*) AS parts, CAST(sum(strlen(t)) AS BIGINT) AS bytes, sha256(string_agg(t, '' ORDER BY doc_id)) AS hash FROM src GROUP BY top")
+def incremental_hashes(spark, sf_dir):
+    """The hash of each folder's contents behind each other, piece by piece."""
+    return hashing.hash_groups(Snapshots(spark, sf_dir).src.select("top", "doc_id", F.col("t").alias("data")), "top", "doc_id")
+
+
+@query("""SELECT o_orderkey AS id, CAST(o_orderkey % 256 AS BIGINT) AS low, strftime(make_timestamp_ms(o_orderkey * CAST(98765 AS BIGINT)), '%H:%M:%S.%g') AS clock FROM orders""", ctes=False)
+def small_values(spark, sf_dir):
+    """A number's little-endian bytes (the first of them), and times of day."""
+    k = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), F.conv(F.hex(F.substring(hashing.u64_bytes(k), 1, 1)), 16, 10).cast("long").alias("low"), formats.clock(k * 98765).alias("clock"))
+
+
+@query("SELECT path, hash, CAST(strlen(content) AS BIGINT) AS size FROM a")
+def objects_on_disk(spark, sf_dir):
+    """Contents put into a store of objects by hash, as files, and read back; paths find them by their hash."""
+    s = Snapshots(spark, sf_dir)
+    register_sources(spark)
+    to = f"{shared_dir(spark)}/objects"
+    s.blobs("a").dropDuplicates(["hash"]).write.format("objects").mode("append").option("path", to).save()
+    back = tables.read_objects(spark, to).select("hash", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("own"))
+    return s.a.select("path", "hash").join(back.where("own = hash"), "hash").select("path", "hash", "size")
+
+
+@query("SELECT 'v' AS vault, top AS note_key, row_number() OVER (PARTITION BY top ORDER BY doc_id) - 1 AS seq, sha256(t) AS update_hash FROM src WHERE t <> '' AND strlen(t) <= 4194304")
+def oplog_files(spark, sf_dir):
+    """Logs as files, a note each, and read back."""
+    register_sources(spark)
+    src, to = Snapshots(spark, sf_dir).src, f"{shared_dir(spark)}/logs"
+    name = F.when(F.col("top") == "", "none").otherwise(F.col("top"))
+    updates = src.select(F.lit("v").alias("vault"), name.alias("note_key"), F.col("doc_id").alias("seq"), F.col("t").cast("binary").alias("update"))
+    logs.encode_log(logs.accepted(updates)[0]).write.format("oplog").mode("append").option("path", to).save()
+    back = spark.read.format("oplog").option("path", to).load()
+    return back.select("vault", F.when(F.col("note_key") == "none", "").otherwise(F.col("note_key")).alias("note_key"), "seq", F.sha2("update", 256).alias("update_hash"))

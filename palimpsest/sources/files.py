@@ -20,6 +20,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from palimpsest.operators.logs import split_frames
 
 
+def clear_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder, in whatever store it lies."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def _local(path: str) -> Path:
     return Path(path.removeprefix("file://"))
 

@@ -5,11 +5,11 @@ Each has a batch form in ``operators.logs`` with the same answer on the same eve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.model import DEBOUNCE_MS, MAX_FRAME, PRESENCE_MS, TOUCH_MS
@@ -96,10 +96,50 @@ def frames(messages: DataFrame, me: str) -> DataFrame:
 
 
 def sized(updates: DataFrame) -> DataFrame:
-    """Updates that an operation log takes; larger and empty ones drop out."""
+    """Updates that an operation log takes; ``oversized`` has the larger ones, and empty ones say nothing."""
     return updates.where((F.octet_length("update") > 0) & (F.octet_length("update") <= MAX_FRAME))
 
 
+def oversized(updates: DataFrame) -> DataFrame:
+    return updates.where(F.octet_length("update") > MAX_FRAME)
+
+
+def presence_frames(live: DataFrame) -> DataFrame:
+    """vault, device and value: each presence row as the JSON that subscribers get, device ids cut to twelve characters."""
+    told = F.struct(F.lit(1).alias("v"), F.lit("presence").alias("t"), "vault", F.substring("device", 1, 12).alias("device"), "name", "file", "state")
+    return live.select("vault", F.col("device").cast("string").alias("device"), F.to_json(told, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def fan_out(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """subscriber and value: each message (vault, device, value) for everyone who follows its vault (vault, subscriber),
+    but a device's own presence not for itself. None is lost, however slow a subscriber is."""
+    own = messages.select(F.col("vault").alias("__vault"), F.col("device").alias("__device"), "value")
+    met = subscribers.join(own, F.col("vault") == F.col("__vault"))
+    return met.where(~F.col("subscriber").eqNullSafe(F.col("__device"))).select("subscriber", "vault", "value")
+
+
+def presence_snapshot(live: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """What a fresh subscriber learns at once: who else is in its vaults."""
+    return fan_out(presence_frames(live), subscribers)
+
+
+def fan_out_stream(messages: DataFrame, subscribers: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """A writer that hands each micro-batch's messages for each subscriber to ``write``, with the batch's number; the
+    subscribers are asked for anew with every batch."""
+    return messages.writeStream.foreachBatch(lambda batch, n: write(fan_out(batch, subscribers()), n))
+
+
+def log_stream(updates: DataFrame, path: str) -> DataStreamWriter:
+    """A writer of the operation log: accepted updates below ``path``/updates, refused ones below ``path``/refused, a
+    folder a micro-batch. A batch that is run again replaces its folders, so nothing is written twice."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        for name, rows in (("updates", sized(batch)), ("refused", oversized(batch))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+
+    return updates.writeStream.foreachBatch(put)
+
+
 def root_changes(pointers: DataFrame) -> DataFrame:
     """A frame for each move of a vault's current version, from rows (vault, root_hash, seq)."""
     return pointers.select(F.to_json(F.struct(F.lit("root").alias("t"), "vault", F.col("root_hash").alias("root"))).alias("value"))

@@ -204,3 +204,35 @@ def test_unified_diff_text():
     want = "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), "before", "after"))
     assert unified(old, new).replace("\n\\ No newline at end of file\n", "") == want
     assert unified(old, old) == ""
+
+
+def test_null_texts_merge_to_null(spark):
+    from palimpsest.functions.textops import text_merge3
+
+    frame = spark.createDataFrame([(None, "a", "b"), ("x\n", None, "y\n"), ("x\n", "x\n", "y\n")], "x string, a string, b string")
+    got = [tuple(r.m) for r in frame.select(text_merge3()("x", "a", "b").alias("m")).collect()]
+    assert got == [(None, None), (None, None), ("merged", "y\n")]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 99), unique=True, min_size=1, max_size=14), st.data())
+def test_merges_equal_a_plain_merge_of_far_edits(numbers, data):
+    """Inserts, deletes and changes in the middle, line ends of both kinds, with and without a last one."""
+    from palimpsest.functions.textops import merge_texts
+
+    end, last = data.draw(st.sampled_from(["\n", "\r\n"])), data.draw(st.booleans())
+    base = [f"l{n}" for n in numbers]
+    sides, want = ([], []), []
+    for i, line in enumerate(base):
+        who = data.draw(st.sampled_from([None, None, 0, 1])) if i % 3 == 1 else None  # edits have two lines between them
+        what = data.draw(st.sampled_from(["insert", "delete", "change"]))
+        new = {"insert": [f"new{i}", line], "delete": [], "change": [f"changed{i}"]}[what]
+        for k in (0, 1):
+            sides[k].extend(new if who == k else [line])
+        want.extend(new if who is not None else [line])
+    if who is not None and what == "delete":
+        return  # the last line's own end goes with it
+    text = lambda ls: end.join(ls) + (end if last else "")
+    status, merged = merge_texts(text(base), text(sides[0]), text(sides[1]))
+    assert status == "merged"
+    assert [x.rstrip("\r") for x in merged.split("\n")] == [x.rstrip("\r") for x in text(want).split("\n")]

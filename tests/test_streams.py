@@ -103,3 +103,36 @@ def test_frames_too_large_or_empty(spark):
     updates = spark.createDataFrame([("",), ("x",)], "n string").select(F.col("n").cast("binary").alias("update"), size.alias("n"))
     good, large = logs.accepted(updates)
     assert (good.count(), large.count()) == (1, 0)
+
+
+def test_runs_and_totals_do_not_depend_on_the_cells(spark):
+    import random
+
+    from palimpsest.operators import ranges
+
+    rng = random.Random(3)
+    data = [("s" if rng.random() < 0.8 else None, i, rng.choice(["a", "b", None])) for i in range(500)]
+    lines = spark.createDataFrame(data, "s string, i long, x string")
+    whole = rows(logs.collapse_runs(lines, "s", ["i"], "x", 1))
+    assert whole == rows(logs.collapse_runs(lines, "s", ["i"], "x", 40)) and sum(r[3] + 1 for r in whole) == 500
+    totals = {}
+    want = []
+    for s, i, _ in data:
+        want.append((i, totals.get(s, 0)))
+        totals[s] = totals.get(s, 0) + i
+    for cells in (1, 7, 64):
+        assert sorted(rows(ranges.running_total(lines, "s", "i", F.col("i"), "before", cells), "i", "before")) == want
+
+
+def test_logs_and_frames_are_streamed(spark, tmp_path):
+    batches = [[{"vault": "v", "device": "a", "value": "1"}, {"vault": "w", "device": "a", "value": "2"}], [{"vault": "v", "device": "b", "value": "3"}]]
+    sent, subscribers = [], spark.createDataFrame([("v", "a"), ("v", "b"), ("w", "c")], "vault string, subscriber string")
+    stream = source(spark, tmp_path, "f", "vault string, device string, value string", *batches)
+    q = streams.fan_out_stream(stream, lambda: subscribers, lambda frame, n: sent.extend((n, *r) for r in rows(frame, "subscriber", "value"))).trigger(availableNow=True).start()
+    assert q.awaitTermination(90) and sorted(sent) == [(0, "b", "1"), (0, "c", "2"), (1, "a", "3")]
+    texts = source(spark, tmp_path, "u", "note_key string, n int", [{"note_key": "a", "n": 3}, {"note_key": "b", "n": 0}], [{"note_key": "c", "n": (4 << 20) + 1}])
+    updates = texts.selectExpr("note_key", "CAST(repeat('x', n) AS BINARY) AS update")
+    q = streams.log_stream(updates, str(tmp_path / "log")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    assert rows(spark.read.parquet(str(tmp_path / "log/updates")), "note_key") == [("a",)]
+    assert rows(spark.read.parquet(str(tmp_path / "log/refused")), "note_key") == [("c",)]

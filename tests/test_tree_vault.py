@@ -148,6 +148,78 @@ def test_diff_prunes_folders(spark, tmp_path):
     assert rows(changed) == [("b/", "modified")]
 
 
+def files_read(frame):
+    """How many files the scan of a frame opens."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    frame._jdf.collectAsList()
+    return plan.collectLeaves().head().metrics().apply("numFiles").value()
+
+
+def test_a_diff_of_one_folder_reads_its_files_only(spark, tmp_path):
+    vault = Vault(spark, str(tmp_path / "v"))
+    wide = {f"d{i:02d}/x": str(i) for i in range(40)}
+    v1 = put(vault, spark, wide, None).root_hash
+    files_before = {f for f in vault._table("entries").inputFiles()}
+    v2 = put(vault, spark, wide | {"d07/x": "new"}, v1, now=2).root_hash
+    written = {f for f in vault._table("entries").inputFiles()} - files_before
+    assert len(written) == 1  # a push writes the folders that it changes
+    old, new = vault._changed(v1, v2)
+    assert [files_read(x) for x in (old, new)] == [1, 1] and files_read(vault._table("entries")) > 30
+    assert rows(vault.diff(v1, v2), "action", "path") == [("modified", "d07/x")]
+    assert rows(vault.diff_with_hashes(v1, v2)) == [("M", "d07/x", sha("7"), sha("new"))]
+
+
+def test_many_changed_folders_are_joined(spark, tmp_path, monkeypatch):
+    from palimpsest import vault as module
+
+    monkeypatch.setattr(module, "FEW", 3)
+    vault = Vault(spark, str(tmp_path / "v"))
+    v1 = put(vault, spark, {f"d{i}/x": str(i) for i in range(9)}, None).root_hash
+    put(vault, spark, {f"d{i}/x": str(i % 2) for i in range(9)}, v1, now=2)
+    assert vault.diff(v1).count() == 7 and state(vault) == {f"d{i}/x": str(i % 2) for i in range(9)}
+
+
+def test_only_one_writer_moves_the_pointer(spark, tmp_path):
+    from palimpsest.sources import claims
+
+    vault, other = Vault(spark, str(tmp_path / "v")), Vault(spark, str(tmp_path / "v"))
+    v1 = put(vault, spark, {"a": "1"}, None).root_hash
+    assert claims.latest(spark, f"{vault.path}/current") == (1, v1)
+    assert claims.claim(spark, f"{vault.path}/current", 2, "x" * 64) and not claims.claim(spark, f"{vault.path}/current", 2, v1)
+    with pytest.raises(RuntimeError, match="moved"):
+        other._move(v1, v1)
+    assert other.current() == "x" * 64
+
+
+def test_approvals_expire_and_outlive_the_object(spark, tmp_path):
+    how = {"guard_mode": "enforce", "guard_limits": {"floor": 0, "regressions": 2}}
+    vault = Vault(spark, str(tmp_path / "v"), **how)
+    v1 = put(vault, spark, {f"f{i}": str(i) for i in range(5)}, None).root_hash
+    vault.approve_bulk_change("d", 1_000, 50)
+    with pytest.raises(GuardRejected):
+        put(vault, spark, {"f1": "1"}, v1, now=1_050)
+    vault.approve_bulk_change("d", 2_000, 50)
+    v2 = put(Vault(spark, str(tmp_path / "v"), **how), spark, {"f1": "1"}, v1, now=2_049).root_hash
+    with pytest.raises(GuardRejected):
+        put(vault, spark, {"f1": "2"}, v2, now=2_049)
+
+
+def test_contents_from_chunks_and_what_is_missing(spark, tmp_path):
+    from palimpsest.functions import chunking
+
+    vault, big = Vault(spark, str(tmp_path / "v")), "0123456789abcdef" * 4000
+    files_ = spark.createDataFrame([(bytearray(big.encode()),)], "data binary")
+    chunks = chunking.chunk_files(files_, 256, 1024, 4096).cache()
+    vault.put_chunks(chunking.manifests(chunks), chunks)
+    vault.put_blobs(spark.createDataFrame([(sha("x"), bytearray(b"x"))], "hash string, data binary"))
+    asked = spark.createDataFrame([(1, sha(big)), (2, sha("x").upper()), (3, sha("y")), (4, "no hash")], "ord int, hash string")
+    got = {r.hash: r.data and bytes(r.data).decode() for r in vault.content(asked).collect()}
+    assert got[sha(big)] == big and got[sha("x")] == "x" and got[sha("y")] is None
+    assert rows(vault.missing(asked), "ord") == [(1,), (3,)] and rows(vault.missing(asked, "manifest"), "ord") == [(2,), (3,)]
+    with pytest.raises(ValueError):
+        vault.put_blobs(spark.createDataFrame([(sha("x"), bytearray(b"y"))], "hash string, data binary"))
+
+
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
@@ -185,6 +257,8 @@ def test_compaction_reports_refused_notes(spark):
     updates = spark.createDataFrame([("n", 1, "b", half), ("n", 0, "a", half), ("m", 0, "c", half), ("m", 1, "d", half + 1), (None, 0, "e", MAX_FRAME + 1), ("o", 0, "", 1)], "note_key string, seq long, c string, times int")
     updates = updates.selectExpr("'v' AS vault", "note_key", "seq", "CAST(repeat(c, times) AS BINARY) AS update")
     got = {r.note_key: (r.bytes, r.refused, r.log) for r in logs.compact_notes(updates).collect()}
+    with pytest.raises(Exception, match="too large for a frame"):
+        logs.encode_log(updates).collect()
     assert got["m"] == (MAX_FRAME + 1, True, None) and got[None] == (MAX_FRAME + 1, True, None)
     assert got["n"][:2] == (MAX_FRAME, False) and logs.split_frames(bytes(got["n"][2])) == [b"a" * half + b"b" * half]
     assert got["o"][:2] == (0, False) and logs.split_frames(bytes(got["o"][2])) == [b""] and len(got) == 4
