@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
-import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -14,21 +12,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.session import shared_dir  # noqa: F401
+
 #: What a null id counts as when rows are ordered: after every other id.
 LAST_ID = 2**63 - 1
 #: The white space that separates words, as a Java and DuckDB character class.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that all executors see, under ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/palimpsest/{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to ``path`` and reads it again, which cuts the lineage and survives lost executors."""
     df.write.mode("overwrite").option("compression", codec).parquet(path)
@@ -40,6 +31,12 @@ def order_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is none of ``taken``, whatever their case."""
+    lower = {c.lower() for c in taken}
+    return next(x for x in (f"__{name}{'_' * k}" for k in range(len(taken) + 1)) if x not in lower)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -67,6 +64,53 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, path: str, by: st
     return spread.join(marked, [key, "salt"]).drop("salt")
 
 
+# --- filters ----------------------------------------------------------------------------------------------------------
+
+#: Most bits of a filter that the driver hands out; beyond it the filter only lets more through.
+FILTER_BITS = 1 << 24
+HASHES = 4
+
+
+def bloom(words: np.ndarray, bits: int) -> np.ndarray:
+    """A Bloom filter over unsigned 64-bit words that are uniform already; ``bits`` is a power of two."""
+    out = np.zeros(bits, bool)
+    for k in range(HASHES):
+        out[_place(words, k, bits)] = True
+    return np.packbits(out, bitorder="little")
+
+
+def might_hold(filter_: np.ndarray, words: np.ndarray) -> np.ndarray:
+    bits, out = len(filter_) * 8, np.ones(len(words), bool)
+    for k in range(HASHES):
+        at = _place(words, k, bits)
+        out &= (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _place(words: np.ndarray, k: int, bits: int) -> np.ndarray:
+    step = (words >> np.uint64(32)) | np.uint64(1)
+    return ((words + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def filter_of(keys: DataFrame, key: str):
+    """A test of a column against a table's keys; its size is bounded, and it never says no to one of them."""
+    bits = min(FILTER_BITS, 1 << max(10, (16 * max(1, keys.count()) - 1).bit_length()))
+    word = F.xxhash64(key)
+    spots = F.array(*[F.pmod(word + F.lit(k) * (F.shiftrightunsigned(word, 32).bitwiseOR(F.lit(1))), F.lit(bits).cast("long")) for k in range(HASHES)])
+    rows = keys.select(F.explode(spots).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("b")).collect()
+    table = np.zeros(bits // 64, np.int64)
+    table[[r.w for r in rows]] = [r.b for r in rows]
+    shared = keys.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+    @F.pandas_udf("boolean")
+    def passes(w):
+        import pandas as pd
+
+        return pd.Series(might_hold(shared.value, w.to_numpy(np.int64).view(np.uint64)))
+
+    return lambda column: passes(F.xxhash64(column))
+
+
 # --- tokenizing -------------------------------------------------------------------------------------------------
 
 #: Characters whose classes (letter, digit, white space) no version of Unicode disputes. Texts with others take the
@@ -90,6 +134,9 @@ def _byte_level() -> str:
 
 
 _BYTE_LEVEL = _byte_level()
+_BLANK = _BYTE_LEVEL[0x20]
+#: Words that an encoder remembers, of each of two generations; about 160 bytes a word.
+WORDS = 350_000
 
 
 class _Known(dict):
@@ -119,7 +166,7 @@ class Encoder:
     follows the piece and not the text.
     """
 
-    def __init__(self, path: str, words: int = 350_000) -> None:
+    def __init__(self, path: str, words: int = WORDS) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -135,7 +182,8 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """The model's ids of one word, whose bytes are spelled in the pre-tokenizer's alphabet."""
-        return array("I", [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+        spelled = word.replace(" ", _BLANK) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
 
     def _pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -163,14 +211,21 @@ class Encoder:
         return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, words: int = WORDS) -> Encoder:
+    """The worker's encoder of this file; loaded once a Python worker, which keeps the last one."""
+    if (path, words) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, words] = Encoder(path, words)
+    return _ENCODERS[path, words]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of this file; loaded once a Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def partitions_of(frame: DataFrame, size: Column, each: int = 128 << 20) -> int:
+    """How many partitions hold the rows, at about ``each`` bytes a partition, and no fewer than there are cores."""
+    total = frame.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return max(parallelism(frame.sparkSession), -(-total // each))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

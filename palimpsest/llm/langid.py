@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
-TOP, SLICE = 300, 1 << 19
+TOP, SLICE = 300, 1 << 17
 #: Documents of each language that the profiles are fitted on: the bound of the labelled sample.
 SAMPLE_DOCS = 400
+#: Languages that are learned, at most: the bound of what the driver holds.
+MOST_LANGS = 1000
 #: Least score of a document that the pipeline keeps; texts below it resemble no learned language.
 LEAST_SCORE = 0.1
 _GRAM_BITS = 40
@@ -33,7 +35,7 @@ _BREAK = re.compile(r"[\W\d_]")
 @lru_cache(1)
 def letters() -> np.ndarray:
     """For each code point its lower-case letter plus one, or 1 for everything else."""
-    out = np.ones(0x110000, np.int64)
+    out = np.ones(0x110000, np.int32)
     for c in range(0x32400):
         x = chr(c)
         if x.isalpha():
@@ -54,7 +56,7 @@ def _slices(text: str) -> Iterator[str]:
 
 def _keys(docs: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted (doc << 40 | n-gram) keys of these texts and their counts."""
-    x = letters()[np.frombuffer("\0".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")]
+    x = letters()[np.frombuffer("\0".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
     doc = np.repeat(np.array([docs[0], *docs], np.int64), [1, *(len(t) + 1 for t in texts)])
     keep = np.r_[True, (x[1:] != 1) | (x[:-1] != 1)]
     x, doc = x[keep], doc[keep]
@@ -171,20 +173,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Profiles:
+def learn(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, most_langs: int = MOST_LANGS) -> Profiles:
     """Profiles from the labelled documents outside the held-out fifth, ``sample_docs`` a language at most.
 
-    The sample is documents of small hashed ids, so it doesn't depend on how the table is dealt. Only the
-    profiles, TOP n-grams a language, reach the driver.
+    Rows with a null text or lang teach nothing. A row is chosen by a hash of its own id and text, and counted with that
+    text, so rows that share an id are rows of their own, repeated rows count once, and the choice doesn't depend on how
+    the table is dealt. Of more than ``most_langs`` labels those with the most documents are learned. Only the profiles,
+    TOP n-grams a language, reach the driver.
     """
-    labelled = documents.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"))
+    lang = F.col("lang").cast("string")
+    labelled = documents.select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    labelled = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
     # Hashes low enough to leave a few times the sample, so a language of any size sends a bounded number of rows.
-    counts = labelled.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * sample_docs / F.count(F.lit(1))).alias("share"))
-    lot = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
-    some = labelled.join(F.broadcast(counts), "lang").where(lot <= F.col("share"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("doc_id", F.col("lang").alias("label"))
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    counts = counts.select("lang", F.least(F.lit(1.0), 4.0 * sample_docs / F.col("n")).alias("share"))
+    lot = F.shiftrightunsigned("h", 11) / F.lit(2.0**53)
+    some = labelled.join(F.broadcast(counts), "lang").where(lot <= F.col("share")).dropDuplicates(["lang", "doc_id", "text"])
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    texts = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("lang", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -194,7 +200,7 @@ def learn(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Profiles:
             for lang, own in ((k, v[i : i + 64]) for k, v in of.items() for i in range(0, len(v), 64)):
                 _, gram, n = gram_counts(own)
                 gram, n = _tally(gram.view(np.uint64), n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     sums = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= TOP)
@@ -216,12 +222,17 @@ def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
         pred, score = profiles.judge([t if isinstance(t, str) else None for t in text])
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
-    got = documents.withColumn("__judged", judge(F.col("text").cast("string")))
-    return got.withColumns({"lang_pred": F.col("__judged.lang_pred"), "score": F.col("__judged.score")}).drop("__judged")
+    own = common.fresh("judged", documents.columns)
+    got = documents.withColumn(own, judge(F.col("text").cast("string")))
+    return got.withColumns({"lang_pred": F.col(own)["lang_pred"], "score": F.col(own)["score"]}).drop(own)
 
 
 def keep_identified(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents, with their own columns, whose language is one of the learned."""
+    """The documents, with their own columns, whose language is one of the learned.
+
+    Null and empty texts and those without a letter go, and texts that score below ``least_score``; repeated rows stay or
+    go together. An empty table stays empty, and so does one without a label.
+    """
     profiles, place = learn(documents), documents.columns.index("text")
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

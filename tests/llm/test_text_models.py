@@ -117,6 +117,38 @@ def test_odd_texts(spark):
     assert {r.lang_pred for r in langid.identify(frame, langid.learn(nothing)).collect()} == {"und"}
 
 
+def test_rows_of_one_id_teach_their_own_language(spark):
+    """Rows that share an id are learned with their own texts; those without a label teach nothing."""
+    english, german, other = "the cat and the dog saw this " * 20, "der hund und die katze sind hier " * 20, "zzz qqq xxx " * 60
+    rows = [(7, english, "en"), (7, german, "de"), (7, other, None), (7, None, "en")] * 3
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned.langs == ["de", "en"] and learned.judge([german, english])[0] == ["de", "en"]
+    _, gram, _ = langid.gram_counts([other])
+    assert not set(gram) & set(learned.grams) - set(langid.gram_counts([english, german])[1])
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=1).langs == ["de"]
+
+
+def plain_rank(text, profiles, langs):
+    """Out-of-place distances of one text, n-gram by n-gram."""
+    _, gram, count = langid.gram_counts([text])
+    own = [g for _, g in sorted((-int(c), int(g)) for g, c in zip(gram, count))][: langid.TOP]
+    best = []
+    for k, lang in enumerate(langs):
+        place = {int(g): int(r) for g, r in zip(profiles.grams, profiles.ranks[k]) if r < langid.TOP}
+        best.append((sum(abs(place[g] - i) if g in place else langid.TOP for i, g in enumerate(own)), k, lang))
+    least = min(best)
+    return (least[2], 1 - least[0] / (len(own) * langid.TOP)) if own else ("und", 0.0)
+
+
+def test_op7_equals_plain_rank_order(spark, duck):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = langid.learn(documents)
+    texts = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
+    for r in QUERIES["op7_langid"](spark, SF).collect():
+        lang, score = plain_rank(texts[r.doc_id] or "", learned, learned.langs)
+        assert r.lang_pred == lang and r.score == pytest.approx(score)
+
+
 def test_counts_equal_a_plain_count():
     from collections import Counter
 
