@@ -20,11 +20,13 @@ or components are collected.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,33 +231,32 @@ def links(distinct: DataFrame, blocks: int) -> DataFrame:
 # --- components ------------------------------------------------------------------------------------------------------
 
 
-def star_components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, path: str) -> DataFrame:
     """node and root (the least node of its component, itself included) for each node on an edge (a, b).
 
-    Alternating large-star and small-star steps until no edge changes; each round is written to ``path``.
+    Alternating large-star and small-star steps until no edge changes; each round is written to ``path``. The least node
+    of a large component is on most of its edges, so lookups by node are salted.
     """
-    spark = edges.sparkSession
 
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settle(e: DataFrame, k: int) -> tuple[DataFrame, tuple]:
+        out = common.materialise(e.distinct(), f"{path}/stars-{k}")
+        return out, tuple(out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     # an edge is (a, b) with a > b
-    now = common.materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{path}/stars-0")
-    was = mark(now)
-    for k in range(1, rounds):
+    now, was = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), 0)
+    k = 0
+    while was[0]:
+        k += 1
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = common.salted_lookup(both.where("v > u"), least, "u", f"{path}/large-{k}", by="v").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b")
-        now = common.materialise(small.distinct(), f"{path}/stars-{k}")
-        is_ = mark(now)
+        now, is_ = settle(small, k)
         if is_ == was:
             break
         was = is_
-    else:
-        raise RuntimeError(f"the components did not settle in {rounds} rounds")
     roots = now.select("b").distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 
@@ -276,11 +277,249 @@ def near_dedup(documents: DataFrame, blocks: int | None = None, carry: tuple[str
     stars = common.materialise(star_components(found, path), f"{path}/components")
     named = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"), (F.count(F.lit(1)) > 1).alias("linked"))
-    by_print = named.join(lows, "root").select("fp", "component_id", "linked", F.col("root").alias("component"))
+    by_print = common.salted_lookup(named, lows, "root", f"{path}/by-root", by="fp").select("fp", "component_id", "linked", F.col("root").alias("component"))
     # Copies of one text share a fingerprint: they are dealt by a salt, and the fingerprint's row goes to each salt.
     out = common.salted_lookup(prints, by_print, "fp", f"{path}/by-print")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "linked", "component", *carry)
 
 
+# --- groups by similarity ---------------------------------------------------------------------------------------------
+
+#: Bands of minima and minima a band: two texts of similarity 0.8 share a band but in 3 of 100,000 cases.
+BANDS, ROWS = 20, 4
+#: Bits in which fingerprints of texts of similarity 0.8 differ at most: 10 on average, with a deviation of 3.
+APART = 23
+_A = np.random.default_rng(80).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_SKETCH = "key long, id long, same binary, n long, fp long, bands array<long>"
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band, from the minima of ``ROWS`` permutations of the shingles' hashes."""
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        h = hashes[i : i + 4096, None] * _A
+        low = np.minimum(low, (h ^ (h >> np.uint64(32))).min(0))
+    mixed = (low.reshape(BANDS, ROWS) * _A[:ROWS]).sum(1, dtype=np.uint64)
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64).tolist()
+
+
+def sketched(documents: DataFrame, shingle: int, path: str) -> DataFrame:
+    """The documents as a column ``row``, with key (one a row), id, same (a hash of the set of shingles), n (its size),
+    fp and bands; written to ``path``, so that the keys stay."""
+
+    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 33
+        for part in parts:
+            cols: list[list] = [[] for _ in range(5)]
+            for text in part.column(1):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                own = np.unique(hashes)
+                told = (key, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), np.uint64(fingerprint(hashes)).view(np.int64), band_keys(own) if len(own) else [])
+                for c, x in zip(cols, told, strict=True):
+                    c.append(x)
+                key += 1
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            k, same, n, fp, bands = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([k, part.column(0), same, n, fp, bands, part.column(2)], names=["key", "id", "same", "n", "fp", "bands", "row"])
+
+    own = documents.select(common.order_id("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    return common.materialise(own.mapInArrow(make, f"{_SKETCH}, row {own.schema['row'].dataType.simpleString()}"), path)
+
+
+def plausible(fp: np.ndarray, n: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Of pairs of places: whether they may be as similar as ``least``, by sizes and fingerprints, and are not known to be
+    of one group."""
+    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    return (comp[i] != comp[j]) & (small >= least * large) & (np.bitwise_count(fp[i] ^ fp[j]) <= APART)
+
+
+def proposals(key: np.ndarray, fp: np.ndarray, n: np.ndarray, comp: np.ndarray, least: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket to look at: all plausible ones, or for each member the nearest and the first plausible one."""
+    size = len(key)
+    if every or size <= 8:
+        out, step = [], max(1, PAIRS // size)
+        for lo in range(0, size, step):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, min(lo + step, size)), np.arange(size), indexing="ij"))
+            ahead = j > i
+            i, j = i[ahead], j[ahead]
+            ok = plausible(fp, n, comp, i, j, least)
+            out.append((key[i[ok]], key[j[ok]]))
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+    order = np.argsort(key)
+    key, fp, n, comp = key[order], fp[order], n[order], comp[order]
+    mine, other, step = [], [], max(1, PAIRS // size)
+    for lo in range(0, size, step):
+        own = np.arange(lo, min(lo + step, size))
+        i, j = np.meshgrid(own, np.arange(size), indexing="ij")
+        ok = plausible(fp, n, comp, i.ravel(), j.ravel(), least).reshape(i.shape)
+        apart = np.where(ok, np.bitwise_count(fp[own][:, None] ^ fp[None, :]), 99)
+        any_ = ok.any(1)
+        for at in (apart.argmin(1), ok.argmax(1)):
+            mine.append(key[own[any_]])
+            other.append(key[at[any_]])
+    return np.concatenate(mine), np.concatenate(other)
+
+
+def bucket_pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
+    """Distinct pairs (a < b) of the buckets (band, code, salt) of rows key, fp, n, comp."""
+
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+            band, code, salt, key, fp, n, comp = cols
+            start = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (code[1:] != code[:-1]) | (salt[1:] != salt[:-1])])
+            ends = np.r_[start[1:], len(band)]
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            two = ends - start == 2
+            i = start[two]
+            ok = plausible(fp, n, comp, i, i + 1, least)
+            a.append(key[i[ok]])
+            b.append(key[i[ok] + 1])
+            for lo, hi in zip(start[ends - start > 2].tolist(), ends[ends - start > 2].tolist(), strict=True):
+                x, y = proposals(key[lo:hi], fp[lo:hi], n[lo:hi], comp[lo:hi], least, every)
+                a.append(x)
+                b.append(y)
+            pair = np.sort(np.stack([np.concatenate(a), np.concatenate(b)], 1), 1)
+            pair = np.unique(pair, axis=0) if len(pair) else pair
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=_OUT)
+
+        pending: list[list[np.ndarray]] = []
+        for part in parts:
+            new = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+            if not len(new[0]):
+                continue
+            new[4] = new[4].view(np.uint64)
+            if pending and all(c[-1] == p[0] for c, p in zip(new[:3], pending[0][:3], strict=True)):
+                pending.append(new)  # a bucket that goes on
+                continue
+            held = [np.concatenate(c) for c in zip(*pending, new, strict=True)]
+            other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                yield found([c[:last] for c in held])
+            pending = [[c[last:] for c in held]]
+        if pending:
+            yield found([np.concatenate(c) for c in zip(*pending, strict=True)])
+
+    by = ["band", "code", "salt"]
+    dealt = rows.select(*by, "key", "fp", "n", "comp").repartition(common.parallelism(rows.sparkSession), *by).sortWithinPartitions(*by)
+    return dealt.mapInArrow(search, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b, alike of pairs: whether the sets of shingles (key, hashes) have at least ``least`` of their union in common."""
+    met = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+
+    @F.pandas_udf("boolean")
+    def alike(x, y):
+        import pandas as pd
+
+        out = []
+        for p, q in zip(x, y, strict=True):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both >= least * (len(p) + len(q) - both))
+        return pd.Series(out, dtype=bool)
+
+    return met.select("a", "b", alike("x", "y").alias("alike"))
+
+
+def similar(documents: DataFrame, shingle: int = 5, least: float = 0.8, split: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
+    """Rows key, id, grp for each document, and a table key, row (the document's columns): documents are linked when the
+    sets of their word shingles have a similarity (common over all) of ``least`` or more, and grp is one number for all
+    that links reach.
+
+    Fingerprints of 64 bits differ in about 10 bits at that similarity, too many for buckets of equal bits, so candidates
+    share a band of minima of their shingles' hashes; sizes and fingerprints discard most, and the sets decide about the
+    rest. Each member of a bucket is first compared with its nearest and with the bucket's first plausible member, which
+    joins crowds of near copies in a few rounds; then every plausible pair that is still of different groups is. Texts
+    with one set of shingles are one node, so copies never meet. A bucket above ``split`` nodes is dealt over tasks: in
+    the first rounds by lots, in the last one the nodes outside its largest group meet all its parts.
+    """
+    spark = documents.sparkSession
+    path = common.shared_dir(spark)
+    rows = sketched(documents, shingle, f"{path}/sketched")
+    nodes = rows.groupBy("same").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = common.materialise(nodes, f"{path}/nodes")
+    each = nodes.select("key", "n", "fp", F.posexplode("bands").alias("band", "code"))
+    sizes = each.groupBy("band", "code").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = common.materialise(each.join(sizes, ["band", "code"]), f"{path}/buckets")
+    wanted = buckets.select("key").distinct()
+    sets = _sets_of(rows, common.materialise(wanted, f"{path}/wanted"), shingle, f"{path}/sets")
+    tested = links_ = None
+    groups = nodes.select("key", F.col("key").alias("comp"))
+    for k in range(4):
+        every = k == 3
+        open_ = buckets.join(groups, "key")
+        open_ = open_.join(open_.groupBy("band", "code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "code"), ["band", "code"]) if k else open_
+        pairs = bucket_pairs(_dealt(open_, split, every, k), least, every)
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        told = common.materialise(verified(pairs, sets, least), f"{path}/tested-{k}")
+        if told.isEmpty():
+            if every or not k:
+                break
+            continue
+        tested = told if tested is None else tested.unionByName(told)
+        good = told.where("alike").select("a", "b")
+        links_ = good if links_ is None else links_.unionByName(good)
+        stars = common.materialise(star_components(links_, f"{path}/round-{k}"), f"{path}/groups-{k}")
+        groups = nodes.select("key").join(stars, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("comp"))
+    named = nodes.select("same", "key").join(groups, "key").select("same", F.col("comp").alias("grp"))
+    told = common.salted_lookup(rows.select("key", "id", "same"), named, "same", f"{path}/named", by="key")
+    return told.select("key", "id", "grp"), rows.select("key", "row")
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
+    """key and hashes (the sorted set of shingles, eight bytes each) of the wanted nodes."""
+
+    @F.pandas_udf("binary")
+    def hashes(text):
+        import pandas as pd
+
+        return pd.Series([shingle_set(t if isinstance(t, str) else None, shingle).tobytes() for t in text])
+
+    texts = rows.select("key", F.col("row.text").cast("string").alias("text")).join(wanted, "key", "left_semi")
+    return common.materialise(texts.select("key", hashes("text").alias("hashes")), path)
+
+
+def _dealt(rows: DataFrame, split: int, every: bool, lot: int) -> DataFrame:
+    """Bucket rows with ``salt``: 0 but in buckets above ``split``."""
+    hot = rows.where(F.col("size") > split)
+    rest = rows.where(F.col("size") <= split).withColumn("salt", F.lit(0))
+    if hot.isEmpty():
+        return rest
+    parts = F.ceil(F.col("size") / split).cast("int")
+    own = F.pmod(F.xxhash64("key", F.lit(lot)), parts).cast("int")
+    if not every:
+        return rest.unionByName(hot.withColumn("salt", own))
+    counts = hot.groupBy("band", "code", "comp").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.groupBy("band", "code").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
+    met = hot.join(top, ["band", "code"])
+    salts = F.when(F.col("comp") == F.col("top"), F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
+    return rest.unionByName(met.withColumn("salt", F.explode(salts)).drop("top"))
+
+
+def one_of_each(documents: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The documents, with their own columns, but of each group of similar ones the row of the smallest doc_id only.
+
+    A null doc_id comes last, and ties go to the row that comes first. Null and empty texts, and texts of white space only,
+    are one group; a text of fewer words than a shingle is a shingle as a whole. An empty table gives no rows.
+    """
+    told, rows = similar(documents, shingle, least)
+    path = common.shared_dir(documents.sparkSession)
+    told = common.materialise(told, f"{path}/groups")
+    first = told.groupBy("grp").agg(F.min(F.struct("id", "key")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("grp", F.col("f.key").alias("first"))
+    gone = common.salted_lookup(told, first, "grp", f"{path}/first", by="key").where("key <> first").select("key")
+    gone = common.materialise(gone, f"{path}/gone")
+    # Rows that a filter over the keys to drop lets pass aren't moved; the others meet the keys.
+    maybe = common.filter_of(gone, "key")(F.col("key"))
+    rows = rows.withColumn("maybe", maybe)
+    return rows.where("NOT maybe").select("row.*").unionByName(rows.where("maybe").join(gone, "key", "left_anti").select("row.*"))
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")

@@ -140,3 +140,75 @@ def test_hot_keys_are_salted(spark, monkeypatch, tmp_path):
     table = rows.select("k").distinct().selectExpr("k", "k * 2 AS twice")
     got = common.salted_lookup(rows, table, "k", f"file://{tmp_path}/s")
     assert sorted((r.doc_id, r.twice) for r in got.collect()) == [(i, 2 * (1 if i % 3 else i)) for i in range(200)]
+
+
+# --- near copies by similarity ------------------------------------------------------------------------------------------
+
+
+def brute_groups(texts, size=5, least=0.8):
+    """The least place of each one's group, links by the similarity of all pairs' sets of shingles."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in string.ascii_uppercase else c for c in t or ""))
+        sets.append({" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} or ({" ".join(words)} if words else set()))
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]
+
+
+def crowd(seed):
+    """Copies of copies with edits, texts that share a passage, short ones, and odd ones."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=3))
+    passage = [word() for _ in range(60)]
+    out = ["", None, " \t", "one", "One", "a b c d", "A b c d e", "w " * 9000]
+    for _ in range(12):
+        base = [word() for _ in range(rng.randrange(30, 300))]
+        for _ in range(rng.randrange(1, 14)):
+            own = list(base)
+            for _ in range(rng.randrange(0, 1 + len(own) // 60)):
+                own[rng.randrange(len(own))] = word()
+            out.append(" ".join(own))
+            if rng.random() < 0.2:
+                base = own
+    out += [" ".join([word() for _ in range(rng.randrange(5, 200))] + passage) for _ in range(20)]
+    return out
+
+
+@pytest.mark.parametrize("split", [4, 1 << 14])
+def test_similar_texts_equal_brute_force(spark, split):
+    texts = crowd(split)
+    frame = docs(spark, list(enumerate(texts)))
+    told, rows = simhash.similar(frame, split=split)
+    got = {}
+    for r in told.join(rows, "key").select("grp", "row.doc_id").collect():
+        got.setdefault(r.grp, set()).add(r.doc_id)
+    want = {}
+    for i, g in enumerate(brute_groups(texts)):
+        want.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_one_of_each_keeps_the_smallest_id(spark):
+    texts = crowd(3)
+    pairs = [(None if i % 9 == 0 else 1000 - i, t) for i, t in enumerate(texts)] * 2
+    kept = simhash.one_of_each(docs(spark, pairs))
+    assert kept.columns == ["doc_id", "text", "copies", "run", "kept"]
+    groups = {}
+    for (i, _), g in zip(pairs, brute_groups([t for _, t in pairs])):
+        groups.setdefault(g, []).append(2**63 if i is None else i)
+    assert sorted(2**63 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
+    assert simhash.one_of_each(docs(spark, pairs).limit(0)).count() == 0
