@@ -43,11 +43,15 @@ def _between(before: Column, role: Column) -> Column:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """One row for each conv_id: conv_id, formatted, loss_mask (array of skip, keep), rows.
 
-    Null texts and roles count as empty. Rows come by turn (null first), ties by role and then text; repeated rows all
-    stay. Rows of a null conv_id are one conversation. An empty table gives no rows. Other columns are ignored.
+    Null texts and roles count as empty. Rows come by turn (null first), ties by role and then text, as they are before
+    they are escaped; repeated rows all stay. Rows of a null conv_id are one conversation. An empty table gives no rows.
+    Other columns are ignored.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), escape(F.col("role").cast("string")).alias("role"), escape(F.col("text").cast("string")).alias("text"))
-    first = rows.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63) + 1)).alias("turn"), "role", "text"))).alias("t"))
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), own("role"), own("text"))
+    row = F.struct(F.coalesce("turn", F.lit(-(2**63) + 1)).alias("turn"), "role", "text")
+    sorted_ = rows.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("t"))
+    first = sorted_.withColumn("t", F.transform("t", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))))
     joint = lambda i: F.when(i == 0, F.lit("")).otherwise(_between(F.col("t")[i - 1]["role"], F.col("t")[i]["role"]))
     learned = lambda t: t["role"] == F.lit(LEARNED)
     first = first.select(
@@ -144,12 +148,12 @@ WITH c AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), o AS (
   SELECT *, lag(role) OVER w AS before, {_ESC.format("text")} AS etext, {_ESC.format("role")} AS erole
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(etext) + CASE WHEN before = role THEN 7 ELSE 8 + length(erole) + 8 + 7 END) AS BIGINT) AS formatted_chars
 FROM o GROUP BY conv_id
 """
