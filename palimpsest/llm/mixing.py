@@ -7,10 +7,11 @@ Each document of a source is due target / source size times, three at most: that
 a fractional inclusion probability. The cube method settles the fractions. Flight: among three documents the move that
 leaves both totals (tokens and documents) as they are lies in the null space of two equations, which is their cross
 product; the step goes to one of the two faces of the cube, by lot weighted so that no document's probability changes on
-average. Each step settles a document. Flights run in blocks of a source, so a source of any size is dealt over many
-tasks; what a block leaves (two documents) goes to the next round's blocks. Landing, in a source's last block: the
-document total is given up, the last document is rounded, and while it helps, the document whose draw turned round
-brings the source's tokens nearest to what its probabilities promised is turned round.
+average. Each step settles a document, the largest first. Flights run in blocks of a source, so a source of any size is
+dealt over many tasks; what a block leaves (two small documents) goes to the next round's blocks. Landing, in a source's
+last block: a linear program over the one or two documents that are still open, which keeps their probabilities. A source
+whose draw is then off by more than ``NEAR`` of its target has documents turned round until it is not: a source of few
+documents, or with one document that is a large part of it, can't keep both its probabilities and its target.
 
 Lots are hashes of (seed, round, source, block), so reruns agree.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import deque
 from itertools import cycle
 
 import numpy as np
@@ -27,8 +29,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
-BLOCK, MOST, WEIGHTS, SEED = 4096, 3.0, (1, 2, 3), 9
+BLOCK, MOST, WEIGHTS, SEED, NEAR = 4096, 3.0, (1, 2, 3), 9, 0.01
 _EPS = 1e-9
+#: Sources whose targets are broadcast; of more, the join is left to Spark.
+MOST_SOURCES = 100_000
+#: Rows that one row becomes in one go.
+REPEATS = 1 << 16
 
 
 def word_count(text: str = "text") -> Column:
@@ -57,10 +63,10 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, mo
 def flight(prob: list[float], size: list[float], lot: random.Random) -> tuple:
     """Moves probabilities until two of them at most are fractions; sums of prob * size and of prob stay.
 
-    Returns the probabilities, the places of the fractions, and the step that moves them along a direction.
+    Returns the probabilities, the places of the fractions, and the step that moves them along a direction. Each
+    probability is kept on average.
     """
-    prob = list(prob)
-    open_: list[int] = []
+    prob = [p if 0 < p < 1 else float(p >= 1) for p in prob]
 
     def move(own: list[int], step: list[float]) -> list[int]:
         ahead = min((1 - prob[i]) / s if s > 0 else prob[i] / -s for i, s in zip(own, step, strict=True) if s)
@@ -74,54 +80,84 @@ def flight(prob: list[float], size: list[float], lot: random.Random) -> tuple:
                 prob[i] = 1.0
         return [i for i in own if 0 < prob[i] < 1]
 
-    for i in range(len(prob)):
-        if not 0 < prob[i] < 1:
-            prob[i] = float(prob[i] >= 1)
-            continue
-        open_.append(i)
-        while len(open_) > 2:
-            a, b, c = (size[k] for k in open_)
-            step = [b - c, c - a, a - b]
-            if a == b:
-                step = [1.0, -1.0, 0.0]
-            elif b == c:
-                step = [0.0, 1.0, -1.0]
-            elif a == c:
-                step = [1.0, 0.0, -1.0]
-            else:
-                top = max(map(abs, step))
-                step = [s / top for s in step]
-            open_ = move(open_, step)
-        if len(open_) == 2 and size[open_[0]] == size[open_[1]]:
-            open_ = move(open_, [1.0, -1.0])
+    # The two largest open documents pay for each other and the smallest makes up the difference, so large ones settle
+    # first and what is left to the landing is small.
+    rest = deque(sorted((i for i, p in enumerate(prob) if 0 < p < 1), key=lambda i: -size[i]))
+    large: list[int] = []
+    small: list[int] = []
+    while True:
+        while len(large) < 2 and rest:
+            large.append(rest.popleft())
+        if not small and rest:
+            small.append(rest.pop())
+        if len(large) + len(small) < 3:
+            break
+        a, b, c = (size[k] for k in large + small)
+        step = [1.0, -1.0, 0.0] if a == b else [0.0, 1.0, -1.0] if b == c else [1.0, 0.0, -1.0] if a == c else [(b - c) / abs(a - c), (c - a) / abs(a - c), (a - b) / abs(a - c)]
+        left = move(large + small, step)
+        large, small = [i for i in large if i in left], [i for i in small if i in left]
+    open_ = large + small
+    if len(open_) == 2 and size[open_[0]] == size[open_[1]]:
+        open_ = move(open_, [1.0, -1.0])
     return prob, open_, move
 
 
 def land(prob: list[float], size: list[float], lot: random.Random) -> list[float]:
-    """A flight, and a landing on whole draws whose tokens come near to sum(prob * size)."""
-    due = sum(p * s for p, s in zip(prob, size, strict=True))
-    prob, open_, move = flight(prob, size, lot)
+    """A flight, and a landing of the documents that it leaves open, two at most, on whole draws.
+
+    Of all draws that keep both probabilities, which differ in the chance t of taking both, the linear program takes the
+    one whose tokens are nearest to their due on average; its objective is linear in t, so t is an end of its range.
+    """
+    prob, open_, _ = flight(prob, size, lot)
     if len(open_) == 2:
-        a, b = (max(size[k], _EPS) for k in open_)
-        open_ = move(open_, [min(a, b) / a, -min(a, b) / b])
-    for i in open_:
-        prob[i] = 1.0 if lot.random() < prob[i] else 0.0
-    drawn, sizes = np.array(prob), np.array(size)
-    while len(sizes):
-        off = (drawn * sizes).sum() - due
-        turned = np.abs(off + np.where(drawn > 0, -sizes, sizes))
-        best = int(turned.argmin())
-        if turned[best] >= abs(off) - _EPS:
+        (p, q), (a, b) = (prob[k] for k in open_), (size[k] for k in open_)
+        off = lambda x, y: abs((x - p) * a + (y - q) * b)
+        both = max(0.0, p + q - 1) if off(1, 1) + off(0, 0) >= off(1, 0) + off(0, 1) else min(p, q)
+        at = lot.random()  # both, the first alone, the second alone, none
+        prob[open_[0]] = float(at < p)
+        prob[open_[1]] = float(at < both or p <= at < p + q - both)
+    elif open_:
+        prob[open_[0]] = float(lot.random() < prob[open_[0]])
+    return prob
+
+
+def corrected(drawn: list[float], prob: list[float], size: list[float], slack: float) -> list[float]:
+    """The draw, if its tokens are within ``slack`` of their due; else with documents turned round, each time the one that
+    brings the tokens nearest, until they are or none helps.
+
+    A draw is that far off only where a document is a large part of what its source is due, since no draw can keep the
+    probability of such a document and the total, too; there the total goes first.
+    """
+    off = sum((d - p) * s for d, p, s in zip(drawn, prob, size, strict=True))
+    if abs(off) <= slack:
+        return drawn
+    out, sizes = np.array(drawn), np.array(size, float)
+    while abs(off) > slack:
+        turned = off + np.where(out > 0, -sizes, sizes)
+        best = int(np.abs(turned).argmin())
+        if abs(turned[best]) >= abs(off) - _EPS:
             break
-        drawn[best] = 1 - drawn[best]
-    return drawn.tolist()
+        out[best], off = 1 - out[best], float(turned[best])
+    return out.tolist()
 
 
 def lot(*key) -> random.Random:
     return random.Random(hashlib.blake2b(repr(key).encode(), digest_size=8).digest())
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def numbered(rows: DataFrame, times: str, n: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, numbered from 1 in a new column ``n``, in parts of ``REPEATS`` rows
+    that are dealt over the tasks."""
+    own = rows.columns
+    part, size = common.fresh("part", own), F.col(f"`{times}`").cast("long")
+    parts = rows.where(size > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / REPEATS))).alias(part))
+    if not rows.where(size > REPEATS).isEmpty():
+        parts = parts.repartition(common.parallelism(rows.sparkSession))
+    first = F.col(part) * REPEATS
+    return parts.select(*[F.col(f"`{c}`") for c in own], F.explode(F.sequence(first + 1, F.least(first + REPEATS, size))).alias(n))
+
+
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, seed: int = SEED, near: float = NEAR) -> DataFrame:
     """One row for each document: doc_id, source, size (words), source_size, target, copies, taken (copies * size).
 
     Null text has size 0 and takes nothing; a null source is a source of its own. Repeated rows and ties are settled
@@ -135,10 +171,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     goal = targets({s: r["size"] for s, r in by.items()}, weights, most)
     plan = [(s, int(r["size"]), float(goal[s]), goal[s] / r["size"] if r["size"] else 0.0) for s, r in by.items()]
     table = spark.createDataFrame(plan, "source string, source_size long, target double, due double")
-    rows = thin.join(F.broadcast(table), thin.source.eqNullSafe(table.source)).select("doc_id", thin.source, "size", "source_size", "target", F.floor("due").alias("whole"), (F.col("due") - F.floor("due")).alias("prob"))
+    rows = thin.join(F.broadcast(table) if len(plan) <= MOST_SOURCES else table, thin.source.eqNullSafe(table.source)).select("doc_id", thin.source, "size", "source_size", "target", F.floor("due").alias("whole"), (F.col("due") - F.floor("due")).alias("prob"))
 
     def settle(frame: DataFrame, k: int, most_rows: int) -> DataFrame:
-        """Rows (source, doc_id, size, prob, n) after a flight in each block; n is the number of repeated rows."""
+        """Rows (source, doc_id, size, target, prob, n) after a flight in each block; n is the number of repeated rows."""
         last = most_rows <= block
         blocks = max(1, -(-most_rows // block))
         spread = frame.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "n", F.lit(seed + k)), F.lit(blocks)).cast("int"))
@@ -146,16 +182,17 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
         def fly(pdf):
             pdf = pdf.sort_values(["doc_id", "size", "n"], kind="stable", na_position="last").reset_index(drop=True)
             source = None if pdf.source.isna().iloc[0] else pdf.source.iloc[0]
-            args = pdf.prob.tolist(), pdf["size"].tolist(), lot(seed, k, source, int(pdf.part.iloc[0]))
-            pdf["prob"] = land(*args) if last else flight(*args)[0]
-            return pdf[["source", "doc_id", "size", "n", "prob"]]
+            prob, size = pdf.prob.tolist(), pdf["size"].tolist()
+            by = lot(seed, k, source, int(pdf.part.iloc[0]))
+            pdf["prob"] = corrected(land(prob, size, by), prob, size, near * float(pdf.target.iloc[0])) if last else flight(prob, size, by)[0]
+            return pdf[["source", "doc_id", "size", "target", "n", "prob"]]
 
-        return spread.groupBy("source", "part").applyInPandas(fly, "source string, doc_id long, size long, n long, prob double")
+        return spread.groupBy("source", "part").applyInPandas(fly, "source string, doc_id long, size long, target double, n long, prob double")
 
     # Repeated rows are told apart by their number among rows with the same id and size, counted by source.
-    single = rows.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"), F.first("prob").alias("prob"))
-    left = single.where("prob > 0 AND size > 0").select("source", "doc_id", "size", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("n"), "prob")
-    left = common.materialise(left, f"{path}/fractions")
+    single = rows.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"), F.first("prob").alias("prob"), F.first("target").alias("target"))
+    left = single.where("prob > 0 AND size > 0").select("source", "doc_id", "size", "target", "times", "prob")
+    left = common.materialise(numbered(left, "times", "n").drop("times"), f"{path}/fractions")
     settled, k, most_rows = [], 0, max([r.n for r in by.values()], default=0)
     while True:
         out = common.materialise(settle(left, k, most_rows), f"{path}/flight-{k}")
@@ -172,7 +209,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     counted = rows.groupBy("source", "doc_id", "size", "source_size", "target", "whole").agg(F.count(F.lit(1)).alias("times")).alias("r")
     joined = counted.join(extra.alias("e"), F.expr("r.source <=> e.source AND r.doc_id <=> e.doc_id AND r.size = e.size"), "left")
     copies = F.col("whole") + F.when(F.col("n") <= F.coalesce("drawn", F.lit(0)), 1).otherwise(0)
-    each = joined.select("r.*", "drawn", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("n"))
+    each = numbered(joined.select("r.*", "drawn"), "times", "n")
     copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("long")
     return each.select(F.nullif("doc_id", F.lit(common.LAST_ID)).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
@@ -185,22 +222,24 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     """
     path = common.shared_dir(documents.sparkSession)
     copies = common.materialise(mix(documents, **how).select("doc_id", "source", "size", "copies"), f"{path}/copies")
-    own = [F.col(f"d.`{c}`") for c in documents.columns]
-    by_id = copies.groupBy("doc_id", "source").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    met = F.expr("d.doc_id <=> m.doc_id AND d.source <=> m.source")
-    single = documents.alias("d").join(by_id.where("__rows = 1 AND __copies > 0").alias("m"), met)
-    out = single.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__n")).drop("__n")
-    shared = common.materialise(by_id.where("__rows > 1").select("doc_id", "source"), f"{path}/shared")
+    names = documents.columns
+    due, size, n = common.fresh("due", names), common.fresh("size", names), common.fresh("n", names)
+    own = [F.col(f"d.`{c}`") for c in names]
+    by_id = copies.groupBy("doc_id", "source").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows"))
+    met = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("m.source"))
+    single = documents.alias("d").join(by_id.where("rows = 1 AND total > 0").alias("m"), met)
+    out = single.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.total"))).alias(n)).select(*names)
+    shared = common.materialise(by_id.where("rows > 1").select("doc_id", "source"), f"{path}/shared")
     if shared.isEmpty():
         return out
-    by_size = copies.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
-    due = by_size.alias("c").join(shared.alias("s"), F.expr("c.doc_id <=> s.doc_id AND c.source <=> s.source"), "left_semi")
-    sized = documents.withColumn("__size", word_count())
-    rows = sized.alias("d").join(due.alias("m"), met & F.expr("d.__size = m.size"))
+    by_size = copies.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 0")
+    some = by_size.alias("c").join(shared.alias("s"), F.expr("c.doc_id <=> s.doc_id AND c.source <=> s.source"), "left_semi")
+    sized = documents.withColumn(size, word_count())
+    rows = sized.alias("d").join(some.alias("m"), met & (F.col(f"d.`{size}`") == F.col("m.size")))
     order = Window.partitionBy("m.doc_id", "m.source", "m.size").orderBy(F.xxhash64("d.text"), "d.text")
-    each = F.expr("__copies div __rows") + F.when(F.row_number().over(order) <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    rows = rows.select(*own, each.cast("long").alias("__each")).where("__each > 0")
-    return out.unionByName(rows.select(*documents.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__each"))).alias("__n")).drop("__n"))
+    each = F.expr("m.total div m.rows") + F.when(F.row_number().over(order) <= F.col("m.total") % F.col("m.rows"), 1).otherwise(0)
+    rows = rows.select(*own, each.cast("long").alias(due)).where(F.col(due) > 0)
+    return out.unionByName(rows.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(due))).alias(n)).select(*names))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
