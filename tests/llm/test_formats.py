@@ -224,6 +224,19 @@ def test_packing_of_odd_documents(spark):
     assert packing.pack(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_long_documents_are_cut_as_they_come(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_WHOLE", 100)
+    monkeypatch.setattr(packing, "_HELD", 64)
+    texts = [(1, "wörd " * 30_000, "s"), (2, "short", "s"), (3, "a b c " * 400, "s"), (3, "a b c " * 400, "s")]
+    pieces = packing.cut_pieces(docs(spark, texts), window=16)
+    assert pieces.where("doc_tokens IS NULL").isEmpty()
+    placed = packing.place(pieces.withColumn("ids_crc32", packing.crc32_of("ids")), 16)
+    want = {}
+    for i, t, _ in texts:
+        want.setdefault(i, []).append(ids_of(t, 1))
+    check_packed([r.asDict() for r in placed.collect()], want, 16)
+
+
 # --- chat -------------------------------------------------------------------------------------------------------------
 
 
@@ -239,7 +252,7 @@ def test_chat_round_trip(spark, monkeypatch, block):
         own = sorted(((-1 if t is None else t, role or "", text or "") for c, t, role, text in rows if c == r.conv_id), key=lambda x: x[0])
         got = [(t.role, t.text) for t in r.turns]
         assert sorted(got) == sorted(x[1:] for x in own)
-        assert [g for g in got] == [x[1:] for x in sorted(own, key=lambda x: (x[0], chat_key(x[1]), chat_key(x[2])))]
+        assert [g for g in got] == [x[1:] for x in sorted(own, key=lambda x: (x[0], x[1].encode(), x[2].encode()))]
         assert r.loss == "".join(t for role, t in got if role == "assistant")
         at, kept = 0, []
         for skip, keep in r.loss_mask:
@@ -250,11 +263,16 @@ def test_chat_round_trip(spark, monkeypatch, block):
             assert control not in r.formatted
 
 
-def chat_key(text):
-    """Ties are ordered by the escaped text."""
-    import re
+def test_ties_are_ordered_by_the_raw_texts(spark, monkeypatch):
+    import duckdb
 
-    return re.sub(r"(?:(?<=<)(?=\||/?s>|</?SYS>>)|(?<=\[)(?=/?INST\]))", r"\\", text.replace("\\", "\\\\")).encode()
+    rows = [(1, 0, "user", t) for t in ("<|a", "<z", "<", "\\", "\\[", "[", "[INST]", "]", "a\\", "</s>", "<a", "", "<|a")] + [(1, None, "<|b", "x"), (1, None, "<c", "x"), (2, 5, "assistant", "<|"), (2, 5, "assistant", "<}")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    monkeypatch.setattr(type(spark.read), "parquet", lambda *_, **__: frame)
+    same(QUERIES["op8_chat"](spark, SF), con.sql(ORACLES["op8_chat"]))
 
 
 def test_rows_of_one_role_merge(spark):
@@ -310,6 +328,24 @@ def test_flight_is_fair():
     assert np.mean(runs, 0) == pytest.approx(prob, abs=0.05)
 
 
+def test_landing_is_fair_and_near():
+    """The whole draw keeps each probability, and its tokens stay within the sizes of two small documents."""
+    rng = random.Random(5)
+    size = [3, 5, 9, 12, 40, 7, 30, 900, 410, 2000, 66, 1200]
+    prob = [rng.uniform(0.1, 0.9) for _ in size]
+    runs = [mixing.land(prob, size, random.Random(s)) for s in range(6000)]
+    assert {x for r in runs for x in r} == {0.0, 1.0}
+    assert np.mean(runs, 0) == pytest.approx(prob, abs=0.03)
+    size = [rng.randrange(1, 3000) for _ in range(400)]
+    prob = [rng.uniform(0.1, 0.9) for _ in size]
+    due = np.dot(prob, size)
+    off = [abs(np.dot(mixing.land(prob, size, random.Random(s)), size) - due) for s in range(200)]
+    assert np.quantile(off, 0.9) < 100
+    for p, q in ((0.2, 0.3), (0.8, 0.9), (0.5, 0.5)):
+        draws = np.mean([mixing.land([p, q], [10, 35], random.Random(s)) for s in range(6000)], 0)
+        assert draws == pytest.approx([p, q], abs=0.03)
+
+
 @pytest.mark.parametrize("block", [64, 4096])
 def test_op9_meets_its_targets(spark, duck, block):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
@@ -370,26 +406,33 @@ def test_pipeline(spark):
     for i in sorted(ids[0]):
         first.setdefault(" ".join(rows[i].text.split()) if False else __import__("re").sub(r"[\x20\x09-\x0D]+", " ", rows[i].text), i)
     assert sorted(ids[1]) == sorted(first.values())
-    from test_dedup_simhash import components, print_of
+    from test_dedup_simhash import brute_groups
 
+    # near copies by five-word shingles and similarity 0.8, as stages on word shingles take where no contract says otherwise
     order = sorted(ids[1])
-    roots = components([print_of(rows[i].text) for i in order])
+    roots = brute_groups([rows[i].text for i in order])
     assert sorted(ids[2]) == sorted({order[r] for r in roots})
     copies = {r.doc_id: r.copies for r in mixing.mix(kept[2]).collect()}
     assert Counter(ids[3]) == Counter({i: n for i, n in copies.items() if n})
     want = {}
     for i in ids[3]:
         want.setdefault(i, []).append(ids_of(rows[i].text, 1))
-    check_packed([r.asDict() for r in kept[4].collect()], want, 2048)
+    out = [r.asDict() for r in kept[4].collect()]
+    check_packed(out, want, 2048)
+    assert all(crc(np.frombuffer(r["ids"], "<u4")) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in out)
     assert kept[4].count() == p.run(spark, SF).count()
 
 
 def test_pipeline_of_odd_tables(spark):
+    from pyspark.sql import functions as F
+
     import corpus_pipeline as p
 
     rows = [(1, "the cat", "en", "a"), (1, "the cat", "en", "a"), (None, "the dog sat", None, None), (2, None, "en", "a"), (3, "", "en", "b"), (4, "12", "en", "b"), (5, "the cat  sat", "en", None), (6, "the cat sat " * 50_000, "en", "c")]
     for own in (rows, []):
         frame = spark.createDataFrame([(*r, 1, "x") for r in own], "doc_id long, text string, lang string, source string, n_chars long, fp string")
+        for name in ("__n", "__due", "__size", "__judged", "__sha", "row", "key", "grp", "maybe", "ids", "id", "digest"):
+            frame = frame.withColumn(name, F.lit("own"))
         for _, stage in p.STAGES:
             frame = common.materialise(stage(spark, frame, SF), f"{common.shared_dir(spark)}/o")
         assert (frame.count() > 0) == bool(own)
