@@ -1,13 +1,16 @@
 """URL filtering by rules and, where no rule fits, gradient-boosted trees over lexical features.
 
 The trees are learned from labelled urls: those that a rule decides, with the rule's verdict. Features are lengths,
-depth, digit ratio, entropy, parameter counts and the labelled share of blocked urls by host suffix.
+depth, digit ratio, entropy, parameter counts and the labelled share of blocked urls by host suffix; while the trees are
+fitted, a url's suffix shares come from the other folds' labels, so its own label never explains itself. ``evaluate``
+holds a fold of the labelled urls out and tells what the trees make of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,9 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: Labelled urls that the trees are fitted on, at most.
 SAMPLE_URLS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF, PRIOR = 40, 3, 32, 0.2, 5, 10.0
+#: Folds of the labelled urls; features: ten lexical ones, then three suffix shares.
+FOLDS, FEATURES = 5, 13
+LEXICAL, SUFFIXES = slice(0, 10), slice(10, 13)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,21 +52,21 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES)
 # --- features -----------------------------------------------------------------------------------------------------------
 
 
-def suffixes(host: str) -> tuple[str, str]:
-    labels = host.split(".")
-    return labels[-1], ".".join(labels[-2:])
+def suffixes(host: str, path: str) -> tuple[str, str, str]:
+    """The host's last label, its last two, and the last with the path's first folder."""
+    names = host.split(".")
+    return names[-1], ".".join(names[-2:]), f"{names[-1]}/{path[1:].partition('/')[0] if path.count('/') > 1 else ''}"
 
 
-def lexical(url: str) -> tuple[float, ...]:
-    """Length, host length, host labels, depth, path length, digit ratio, entropy, parameters, dashes, fragment."""
-    rest = url.split("://", 1)[-1]
-    host = rest.split("/", 1)[0]
-    body, _, query = rest.partition("?")
+def lexical(url: str, host: str, path: str) -> tuple[float, ...]:
+    """Length, host length, host labels, depth, path length, digit ratio, entropy, parameters, dashes, fragment; host and
+    path are those of ``host_path``."""
     n = len(url)
     counts = np.bincount(np.frombuffer(url.encode("utf-8", "surrogatepass"), np.uint8)) if n else np.empty(0)
     share = counts[counts > 0] / max(1, counts.sum())
     digits = sum(c.isdigit() for c in url)
-    return (n, len(host), host.count(".") + 1, body.count("/"), len(body) - len(host), digits / max(1, n), float(-(share * np.log2(share)).sum()), query.count("=") + query.count("&"), url.count("-"), float("#" in url))
+    query = url.partition("?")[2].partition("#")[0]
+    return (n, len(host), host.count(".") + bool(host), path.count("/"), len(path), digits / max(1, n), float(-(share * np.log2(share)).sum()), query.count("=") + query.count("&"), url.count("-"), float("#" in url))
 
 
 # --- trees --------------------------------------------------------------------------------------------------------------
@@ -132,44 +138,97 @@ class Boosted:
         return _sigmoid(score)
 
 
+@dataclass
+class Labelled:
+    """Labelled urls: ``blocked`` is 1.0 or 0.0, ``fold`` a number below ``FOLDS`` that the url alone decides."""
+
+    urls: list[str]
+    hosts: list[str]
+    paths: list[str]
+    blocked: np.ndarray
+
+    @property
+    def fold(self) -> np.ndarray:
+        return np.array([crc32(u.encode("utf-8", "surrogatepass")) % FOLDS for u in self.urls], np.int64)
+
+    def some(self, keep: np.ndarray) -> Labelled:
+        at = np.flatnonzero(keep)
+        return Labelled([self.urls[i] for i in at], [self.hosts[i] for i in at], [self.paths[i] for i in at], self.blocked[at])
+
+
+def suffix_shares(own: Labelled) -> tuple[float, dict[str, float]]:
+    """The share of blocked urls, in all and by suffix; rare suffixes are drawn to that of all."""
+    share = float(own.blocked.mean()) if len(own.blocked) else 0.0
+    seen: dict[str, list[float]] = {}
+    for h, p, y in zip(own.hosts, own.paths, own.blocked, strict=True):
+        for s in suffixes(h, p):
+            t = seen.setdefault(s, [0.0, 0.0])
+            t[0], t[1] = t[0] + y, t[1] + 1
+    return share, {s: (a + PRIOR * share) / (n + PRIOR) for s, (a, n) in seen.items()}
+
+
 @dataclass
 class UrlModel:
+    """``columns`` are the features that the trees look at; all unless an evaluation leaves some out."""
+
     trees: Boosted
     share: float
     by_suffix: dict[str, float]
+    columns: slice = slice(None)
+
+    def shares(self, host: str, path: str) -> tuple[float, float, float]:
+        """The shares of a url's suffixes; one that no label has is taken from a shorter one."""
+        last, two, folder = suffixes(host, path)
+        own = self.by_suffix.get(last, self.share)
+        return own, self.by_suffix.get(two, own), self.by_suffix.get(folder, own)
 
-    def features(self, urls: Sequence[str | None], hosts: Sequence[str]) -> np.ndarray:
-        rows = [(*lexical(u or ""), *(self.by_suffix.get(s, self.share) for s in suffixes(h))) for u, h in zip(urls, hosts, strict=True)]
-        return np.array(rows, np.float64).reshape(len(rows), 12)
+    def features(self, urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+        rows = [(*lexical(u or "", h, p), *self.shares(h, p)) for u, h, p in zip(urls, hosts, paths, strict=True)]
+        return np.array(rows, np.float64).reshape(len(rows), FEATURES)[:, self.columns]
+
+    def predict(self, urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+        """The probability of ``block``."""
+        return self.trees.predict(self.features(urls, hosts, paths))
 
     @classmethod
-    def learn(cls, urls: list[str], hosts: list[str], blocked: np.ndarray) -> UrlModel:
-        share = float(blocked.mean()) if len(blocked) else 0.0
-        seen: dict[str, list[float]] = {}
-        for h, y in zip(hosts, blocked, strict=True):
-            for s in suffixes(h):
-                t = seen.setdefault(s, [0.0, 0.0])
-                t[0], t[1] = t[0] + y, t[1] + 1
-        model = cls(Boosted(), share, {s: (a + PRIOR * share) / (n + PRIOR) for s, (a, n) in seen.items()})
-        model.trees.fit(model.features(urls, hosts), blocked)
-        return model
+    def learn(cls, own: Labelled, columns: slice = slice(None)) -> UrlModel:
+        fold, x = own.fold, np.empty((len(own.urls), FEATURES))[:, columns]
+        for k in np.unique(fold):
+            inside, others = own.some(fold == k), own.some(fold != k)
+            x[fold == k] = cls(Boosted(), *suffix_shares(others), columns).features(inside.urls, inside.hosts, inside.paths)
+        return cls(Boosted().fit(x, own.blocked), *suffix_shares(own), columns)
+
+
+def evaluate(own: Labelled, columns: slice = slice(None)) -> dict[str, float]:
+    """Accuracy, and the recall and precision of ``block``, on the fold that is held out of the fit."""
+    out = own.fold == 0
+    test, model = own.some(out), UrlModel.learn(own.some(~out), columns)
+    told, truth = model.predict(test.urls, test.hosts, test.paths) >= 0.5, test.blocked > 0
+    hit = float((told & truth).sum())
+    return {"urls": float(len(truth)), "accuracy": float((told == truth).mean()) if len(truth) else 0.0, "recall": hit / max(1.0, float(truth.sum())), "precision": hit / max(1.0, float(told.sum()))}
 
 
 def labelled_sample(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most: int = SAMPLE_URLS) -> list:
-    """Rows (url, host, verdict) of ``most`` urls at most that a rule decides: distinct, those of the smallest hashes.
+    """Rows (url, host, path, verdict) of ``most`` urls at most that a rule decides: distinct, those of the smallest hashes.
 
     Only hashes low enough to leave about twice the sample go on, so what is sorted and sent doesn't grow with the table.
     The share is of distinct urls, however often each is repeated; should it leave too few, all are taken.
     """
     host, path = host_path(F.col("url"))
     _, verdict = ruled(host, path, rules)
-    rows = pages.select("url", host.alias("host"), verdict.alias("verdict")).where("verdict IS NOT NULL")
+    rows = pages.select("url", host.alias("host"), path.alias("path"), verdict.alias("verdict")).where("verdict IS NOT NULL")
     share = 2.0 * most / max(1, rows.agg(F.approx_count_distinct("url")).first()[0])
     least = lambda some: some.distinct().orderBy(F.xxhash64("url"), "url").limit(most).collect()
     got = least(rows.where(F.shiftrightunsigned(F.xxhash64("url"), 11) / F.lit(2.0**53) < share)) if share < 1 else []
     return got if len(got) == most else least(rows)
 
 
+def labelled(rows: list) -> Labelled:
+    """The sample as the trees learn it, in an order of its own."""
+    rows = sorted(rows, key=lambda r: r.url)
+    return Labelled([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], np.array([r.verdict == "block" for r in rows], float))
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_urls: int = SAMPLE_URLS) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score (the trees' probability where no rule fits, else null) a page.
 
@@ -178,21 +237,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sampl
     no rows; other columns are ignored.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    sample = labelled_sample(own, rules, sample_urls)
-    model = UrlModel.learn([r.url for r in sample], [r.host for r in sample], np.array([r.verdict == "block" for r in sample], float))
+    model = UrlModel.learn(labelled(labelled_sample(own, rules, sample_urls)))
 
     @F.pandas_udf("double")
-    def score(url, host):
+    def score(url, host, path):
         import pandas as pd
 
-        return pd.Series(model.trees.predict(model.features([u if isinstance(u, str) else None for u in url], list(host))))
+        return pd.Series(model.predict([u if isinstance(u, str) else None for u in url], list(host), list(path)))
 
     host, path = host_path(F.col("url"))
     rows = own.withColumns({"host": host, "path": path})
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": verdict})
     decided = rows.where("rule IS NOT NULL").withColumn("block_score", F.lit(None).cast("double"))
-    unruled = rows.where("rule IS NULL").withColumn("block_score", score("url", "host"))
+    unruled = rows.where("rule IS NULL").withColumn("block_score", score("url", "host", "path"))
     both = decided.unionByName(unruled)
     by_trees = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
     return both.select("page_id", "host", "path", "rule", F.coalesce("said", by_trees).alias("verdict"), "block_score")
