@@ -1,107 +1,145 @@
 """WARC archives as a table of record chunks.
 
-A page becomes one record; a payload above ``CHUNK`` characters becomes a response segment and continuation segments
-(WARC-Segment-Number, WARC-Segment-Origin-ID), a row each, so no task holds a whole archive or a second copy of a long
-record. Rows are written as WARC text by Spark's own writer, and read by Spark's own reader, which cuts at the version
-line; a payload that holds that line is cut inside it, so no segment contains it. The line end after a block counts: a
-segment that ends in the version is cut, too, and a url that does is escaped. Both work in any store that Spark reaches.
-
-Digests of segmented payloads are carried from chunk to chunk: chunks are dealt by record and sorted, and a running
-SHA-256 sees one chunk at a time.
+A page becomes one record; a payload above ``CHUNK`` bytes becomes a response segment and continuation segments
+(WARC-Segment-Number, WARC-Segment-Origin-ID), a row each. One pass over a payload cuts it and carries its digest from
+chunk to chunk: a chunk is a slice of the payload's own buffer, and no more than a few megabytes of rows are held beside
+it, so no task builds a whole record or archive. Rows are written as WARC text by Spark's own writer and read by Spark's
+own reader, which cuts at the version line. The version's text never lies in a chunk: a payload that holds it is cut
+inside it. Both work in any store that Spark reaches. Archives end after about ``FILE``
+bytes of records.
+
+On reading, digests are carried again: chunks are dealt by record and sorted, and a running SHA-256 sees one at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
-CHUNK, LEAST_REVISIT, RECORDS_A_FILE = 1 << 18, 100, 100_000
+CHUNK, LEAST_REVISIT, FILE = 1 << 18, 100, 256 << 20
 VERSION, EOL = "WARC/1.1\r\n", "\r\n"
-#: What becomes the version line before a line end.
-OPEN = VERSION.removesuffix(EOL)
+#: What no chunk may hold, since a line end behind it would make the version line.
+OPEN = VERSION.removesuffix(EOL).encode()
 #: The date that all records carry, so that reruns write equal archives.
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-
-
-def chunked(text: Column, size: int = CHUNK) -> Column:
-    """The text as an array of chunks of ``size`` characters at most, none of which holds the version line or would
-    before a line end."""
-    whole = F.when(F.contains(text, F.lit(VERSION)), F.split(text, r"(?<=WARC)(?=/1\.1\r\n)", -1)).otherwise(F.array(text))
-
-    def cut(piece: Column) -> Column:
-        last = F.greatest(F.lit(0), F.ceil(F.length(piece) / size).cast("int") - 1)
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(piece, i * size + 1, F.lit(size)))
-
-    def closed(chunk: Column) -> Column:
-        return F.when(F.endswith(chunk, F.lit(OPEN)), F.array(F.substr(chunk, F.lit(1), F.length(chunk) - 4), F.lit(OPEN[-4:]))).otherwise(F.array(chunk))
-
-    plain = (F.length(text) <= size) & ~F.contains(text, F.lit(VERSION)) & ~F.endswith(text, F.lit(OPEN))
-    return F.when(plain, F.array(text)).otherwise(F.flatten(F.transform(F.flatten(F.transform(whole, cut)), closed)))
-
-
-def plan_records(pages: DataFrame, path: str) -> DataFrame:
-    """page_id, payload_digest and refers_to of the pages that revisit another's payload."""
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of rows that a task gathers before it hands them on.
+_HELD = 4 << 20
+
+
+def cuts(payload: memoryview, size: int = CHUNK) -> Iterator[memoryview]:
+    """Slices of the UTF-8 payload, one at least, of ``size`` bytes at most (a character's bytes stay together), none of
+    which holds the version."""
+    n, at = len(payload), 0
+    marks = (m.start() + 4 for m in re.finditer(re.escape(OPEN), payload))
+    mark = next(marks, n)
+    while at < n or not n:
+        end = min(at + size, n)
+        while at < end < n and payload[end] & 0xC0 == 0x80:
+            end -= 1
+        if end <= at:  # a character longer than a chunk
+            end = at + 1
+            while end < n and payload[end] & 0xC0 == 0x80:
+                end += 1
+        while mark <= at and mark < n:
+            mark = next(marks, n)
+        end = min(end, mark) if mark > at else end
+        yield payload[at:end]
+        at = end
+        if not n:
+            return
+
+
+def plan_records(pages: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """page_id, payload_digest and refers_to of the pages that revisit another's payload, and the mean payload's bytes."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    thin = pages.select(common.order_id("page_id").alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= LEAST_REVISIT).drop("n")
+    thin = pages.select(common.order_id("page_id").alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     thin = common.materialise(thin, f"{path}/digests")
+    mean = int(thin.agg(F.avg("n")).first()[0] or 0)
+    thin = thin.where(F.col("n") >= LEAST_REVISIT).drop("n")
     first = thin.groupBy("digest").agg(F.min("id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     met = common.salted_lookup(thin, common.materialise(first, f"{path}/first"), "digest", f"{path}/by-digest", by="id")
-    return met.where("id <> response").distinct()
+    return met.where("id <> response").distinct(), mean
 
 
 def record_chunks(pages: DataFrame, revisits: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Rows page_id, copy (tells repeated rows apart), chunk_no from 1, chunks, and value: the segment as WARC text."""
+    """Rows page_id, copy (tells repeated rows apart), chunk_no from 1, digest (of the payload up to here, in hexadecimal),
+    and value: the segment as WARC text."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(common.order_id("page_id").alias("id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    own = own.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    rows = own.join(revisits, ["id", "digest"], "left").withColumn("copy", F.monotonically_increasing_id())
-    chunks = F.when(F.col("response").isNull(), chunked(F.col("payload"), size)).otherwise(F.array(F.lit("")))
-    rows = rows.withColumn("parts", chunks).withColumn("chunks", F.size("parts")).select("*", F.posexplode("parts").alias("pos", "part")).drop("parts", "payload")
-    chunk_no = F.col("pos") + 1
-    first = F.col("pos") == 0
-    block = F.when(first, F.concat(F.lit(_HTTP), F.col("part"))).otherwise(F.col("part"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    kind = F.when(~first, F.lit("continuation")).when(F.col("response").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))
-    record = F.when(first, urn(F.col("id"))).otherwise(F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(":"), chunk_no.cast("string"), F.lit(">")))
-    url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), r"(?<=WARC/1)\.(?=1\z)", "%2E")
-
-    def line(name: str, value: Column, when: Column | None = None) -> Column:
-        text = F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL))
-        return F.coalesce(F.when(when, text) if when is not None else text, F.lit(""))
-
-    split = F.col("chunks") > 1
-    head = [
-        line("WARC-Type", kind),
-        line("WARC-Record-ID", record),
-        line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", url, first),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")), first),
-        line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), first & F.col("response").isNotNull()),
-        line("WARC-Refers-To", urn(F.col("response")), first & F.col("response").isNotNull()),
-        line("WARC-Segment-Number", chunk_no, split),
-        line("WARC-Segment-Origin-ID", urn(F.col("id")), ~first),
-        line("WARC-Segment-Total-Length", F.col("bytes") + len(_HTTP), split & (chunk_no == F.col("chunks"))),
-        line("Content-Type", F.lit("application/http; msgtype=response"), first),
-        line("X-Copy", F.col("copy")),
-        line("X-Page", F.col("page_id"), F.col("page_id").isNotNull()),
-        line("Content-Length", F.octet_length(block)),
-    ]
-    value = F.concat(F.lit(VERSION), *head, F.lit(EOL), block, F.lit(EOL))  # the writer adds the last line end
-    return rows.select("page_id", "copy", chunk_no.alias("chunk_no"), "chunks", value.alias("value"))
+    own = own.withColumn("digest", F.sha2("payload", 256)).repartition(common.partitions_for(pages), "id", "digest")
+    rows = own.join(revisits, ["id", "digest"], "left").select("id", "page_id", "url", "digest", "response", F.col("payload").cast("binary").alias("payload"))
+    kinds = [("page_id", pa.int64()), ("copy", pa.int64()), ("chunk_no", pa.int32()), ("digest", pa.string()), ("value", pa.string())]
+    schema = pa.schema(kinds)
+
+    def header(fields: list[tuple[str, object]]) -> bytes:
+        return (VERSION + "".join(f"{k}: {v}{EOL}" for k, v in fields if v is not None) + EOL).encode("utf-8", "surrogatepass")
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copy, held, size_held = TaskContext.get().partitionId() << 33, [], 0
+
+        def batch() -> pa.RecordBatch:
+            *plain, values = zip(*held, strict=True)
+            arrays = [pa.array(c, f.type) for c, f in zip(plain, schema, strict=False)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(values, pa.binary()).view(pa.string())], schema=schema)
+
+        for part in parts:
+            for id_, page, url, digest, response, cell in zip(*part.columns, strict=True):
+                id_, page, url, response = (x.as_py() for x in (id_, page, url, response))
+                body = memoryview(cell.as_buffer()).cast("B") if response is None else memoryview(b"")
+                url = url and url.replace("\r", "%0D").replace("\n", "%0A").replace("WARC/1.1", "WARC/1%2E1")
+                state, seen = hashlib.sha256(), 0
+                for number, chunk in enumerate(cuts(body, size), 1):
+                    state.update(chunk)
+                    seen += len(chunk)
+                    first, last = number == 1, seen == len(body)
+                    http = _HTTP.encode() if first else b""
+                    fields = [
+                        ("WARC-Type", "continuation" if not first else "revisit" if response is not None else "response"),
+                        ("WARC-Record-ID", f"<urn:page:{id_}>" if first else f"<urn:page:{id_}:{number}>"),
+                        ("WARC-Date", DATE),
+                        ("WARC-Target-URI", url if first else None),
+                        ("WARC-Payload-Digest", f"sha256:{digest}" if first else None),
+                        ("WARC-Profile", _PROFILE if first and response is not None else None),
+                        ("WARC-Refers-To", f"<urn:page:{response}>" if first and response is not None else None),
+                        ("WARC-Segment-Number", number if not (first and last) else None),
+                        ("WARC-Segment-Origin-ID", None if first else f"<urn:page:{id_}>"),
+                        ("WARC-Segment-Total-Length", len(body) + len(_HTTP) if last and not first else None),
+                        ("Content-Type", "application/http; msgtype=response" if first else None),
+                        ("X-Copy", copy),
+                        ("X-Page", page),
+                        ("Content-Length", len(http) + len(chunk)),
+                    ]
+                    value = b"".join([header(fields), http, chunk, EOL.encode()])  # the writer adds the last line end
+                    held.append((page, copy, number, state.hexdigest(), value))
+                    size_held += len(value)
+                    if size_held >= _HELD:
+                        yield batch()
+                        held, size_held = [], 0
+                if response is None and state.hexdigest() != digest.as_py():
+                    raise ValueError(f"page {page}: the digest carried from chunk to chunk is not the payload's")
+                copy += 1
+        if held:
+            yield batch()
+
+    return rows.mapInArrow(write, "page_id long, copy long, chunk_no int, digest string, value string")
 
 
 def write_archives(pages: DataFrame, path: str, size: int = CHUNK) -> str:
     """Writes one record a page (page_id, url, html) to gzipped WARC files under ``path``/archives."""
-    rows = record_chunks(pages, plan_records(pages, path), size).select("value")
-    to = f"{path}/archives"
-    rows.write.mode("overwrite").option("lineSep", EOL).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(to)
+    revisits, mean = plan_records(pages, path)
+    to, records = f"{path}/archives", max(1, FILE // (mean + 1024))
+    rows = record_chunks(pages, revisits, size).select("value")
+    rows.write.mode("overwrite").option("lineSep", EOL).option("compression", "gzip").option("maxRecordsPerFile", records).text(to)
     return to
 
 
@@ -159,7 +197,7 @@ def segmented_digests(segments: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["page_id", "copy", "bytes", "digest"])
 
     rows = segments.where("chunk_no > 0").select("page_id", "copy", "chunk_no", F.col("payload").cast("binary").alias("payload"))
-    dealt = rows.repartition(common.parallelism(segments.sparkSession), "page_id", "copy").sortWithinPartitions("page_id", "copy", "chunk_no")
+    dealt = rows.repartition(common.partitions_for(segments), "page_id", "copy").sortWithinPartitions("page_id", "copy", "chunk_no")
     return dealt.mapInArrow(carry, "page_id long, copy long, bytes long, digest string")
 
 
