@@ -41,6 +41,13 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def partitions_for(frame: DataFrame, each: int = 128 << 20) -> int:
+    """How many partitions to deal a table's rows over: one for about ``each`` bytes by the plan's own estimate, taking
+    files to unpack to three times their size, and no fewer than there are cores or shuffle partitions."""
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(parallelism(frame.sparkSession), 3 * size // each if size < 1 << 60 else 0)
+
+
 #: Rows of one key above which a lookup is salted.
 HOT_KEY = 10_000
 
@@ -222,12 +229,6 @@ def encoder(path: str, words: int = WORDS) -> Encoder:
     return _ENCODERS[path, words]
 
 
-def partitions_of(frame: DataFrame, size: Column, each: int = 128 << 20) -> int:
-    """How many partitions hold the rows, at about ``each`` bytes a partition, and no fewer than there are cores."""
-    total = frame.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return max(parallelism(frame.sparkSession), -(-total // each))
-
-
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

@@ -5,12 +5,15 @@ that need it. A level's bitmap marks the ids that go on, and its rank directory
 block of ``BLOCK`` bits; so any id is found by one rank a level, without decoding its neighbours.
 
 The ids of all documents follow each other by doc_id. The stream is cut into segments of ``SEGMENT`` ids; a row of the
-file is a segment: its place, its levels, and the documents that it holds a part of. A long document spans segments.
+file is a segment: its place, its levels, and the documents that it holds a part of. A long document spans segments. The
+files lie in a folder for each part of the stream, and the directory has a row for each part: its first id's place and
+its number of ids; so a token's segment is known before anything else is read.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +107,7 @@ class TokenStore:
     """A folder of segments."""
 
     def __init__(self, spark, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path, self._directory = spark, path, None
 
     @classmethod
     def write(cls, documents: DataFrame, path: str | None = None, tokenizer: str | None = None, end: int = END, segment: int = SEGMENT) -> TokenStore:
@@ -149,28 +152,51 @@ class TokenStore:
 
         by = [common.order_id("doc_id").alias("id"), F.xxhash64("text").alias("h")]
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        dealt = rows.withColumns({"__id": by[0], "__h": by[1]}).repartitionByRange(common.parallelism(spark), "__id", "__h").sortWithinPartitions("__id", "__h").select("doc_id", "text")
-        dealt.mapInArrow(encode, SCHEMA).write.mode("overwrite").option("compression", "lz4").parquet(path)
+        dealt = rows.withColumns({"__id": by[0], "__h": by[1]}).repartitionByRange(common.partitions_for(documents), "__id", "__h").sortWithinPartitions("__id", "__h").select("doc_id", "text")
+        dealt.mapInArrow(encode, SCHEMA).write.mode("overwrite").option("compression", "lz4").partitionBy("part").parquet(path)
         return cls(spark, path)
 
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(self.path)
+
+    def directory(self) -> list[tuple[int, int, int, int]]:
+        """(start, part, ids, ids of a whole segment) by the place in the stream, asked for once.
+
+        The driver holds a row for each part, which is a task's share of the corpus.
+        """
+        if self._directory is None:
+            sizes = self._rows().groupBy("part").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+            at, self._directory = 0, []
+            for r in sorted(sizes, key=lambda r: r.part):
+                self._directory.append((at, r.part, r.n, r.most))
+                at += r.n
+        return self._directory
+
     def segments(self) -> DataFrame:
-        """The segments with ``start``, the place of their first id in the whole stream.
+        """The segments with ``start``, the place of their first id in the whole stream."""
+        offsets = self.spark.createDataFrame([(part, at) for at, part, _, _ in self.directory()], "part int, before long")
+        return self._rows().join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("base"))
+
+    def segment_at(self, place: int) -> tuple[DataFrame, int] | None:
+        """The one segment that holds a place of the stream, and the place in it; None beyond the stream.
 
-        The driver holds one number for each part, the number of its ids.
+        All segments of a part but its last are of one size, so part and number are literals that prune the scan.
         """
-        rows = self.spark.read.schema(SCHEMA).parquet(self.path)
-        sizes = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect())
-        before, at = [], 0
-        for part, n in sizes:
-            before.append((part, at))
-            at += n
-        offsets = self.spark.createDataFrame(before, "part int, before long")
-        return rows.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("base"))
+        own = self.directory()
+        k = bisect_right(own, place, key=lambda r: r[0]) - 1
+        if k < 0 or place >= own[k][0] + own[k][2]:
+            return None
+        start, part, _, most = own[k]
+        seq, at = divmod(place - start, most)
+        return self._rows().where((F.col("part") == part) & (F.col("seq") == seq)), at
 
     def token(self, place: int) -> int | None:
-        """The id at a place of the whole stream; null beyond its end. Reads one segment's levels."""
-        row = self.segments().where((F.col("start") <= place) & (F.col("start") + F.col("n") > place)).select("chunks", "marks", "ranks", "start").first()
-        return access([bytes(x) for x in row.chunks], [bytes(x) for x in row.marks], [bytes(x) for x in row.ranks], place - row.start) if row else None
+        """The id at a place of the whole stream; null beyond its end. Reads one segment's levels, a rank a level."""
+        found = self.segment_at(place)
+        if found is None:
+            return None
+        row = found[0].select("chunks", "marks", "ranks").first()
+        return access([bytes(x) for x in row.chunks], [bytes(x) for x in row.marks], [bytes(x) for x in row.ranks], found[1])
 
     def documents(self) -> DataFrame:
         """Read back: doc_id, start, n_tokens, ids_crc32 for each document."""
