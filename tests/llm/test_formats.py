@@ -146,6 +146,19 @@ def test_token_files(spark, tmp_path, segment):
     assert store.token(len(stream)) is None
 
 
+def test_a_token_reads_one_segment(spark, tmp_path):
+    """The part is picked by its folder and the segment by its number, before anything is decoded."""
+    store = token_store.TokenStore.write(docs(spark, [(k, f"text number {k} " * 30, "s") for k in range(60)]), f"file://{tmp_path}/t", segment=64)
+    assert len(store.directory()) > 1 and store.directory()[0][3] == 64
+    found, _ = store.segment_at(store.directory()[1][0] + 70)
+    plan = found._jdf.queryExecution().executedPlan()
+    assert found._jdf.collectAsList().size() == 1
+    told = plan.toString()
+    assert "EqualTo(seq,1)" in told and "part" in told.split("PartitionFilters")[1].split("]")[0]
+    assert plan.collectLeaves().head().metrics().apply("numFiles").value() == 1
+    assert store.token(-1) is None
+
+
 def test_op5(spark, duck):
     at = 0
     got = sorted(QUERIES["op5_token_store"](spark, SF).collect())

@@ -212,6 +212,44 @@ def test_the_sample_counts_distinct_urls(spark):
     assert len(url_filter.labelled_sample(frame, most=500)) == 200
 
 
+def plain_rule(url):
+    """Host, path, rule and its verdict, by the contract's words."""
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
+        host, rest = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
+        path = rest[: min((i for i in map(rest.find, "?#") if i >= 0), default=len(rest))]
+    best = None
+    for verdict, rule in url_filter.RULES:
+        own, _, start = rule.partition("/")
+        if (host == own or host.endswith("." + own)) and path.startswith("/" + start) and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    return host, path, *(best or (None, None))
+
+
+def test_op3_equals_plain_rules(spark, duck):
+    pages = dict(duck.sql("SELECT page_id, url FROM pages").fetchall())
+    own = spark.read.parquet(f"{SF}/pages.parquet")
+    model = url_filter.UrlModel.learn(url_filter.labelled(url_filter.labelled_sample(own)))
+    got = QUERIES["op3_url_filter"](spark, SF).collect()
+    for r in got:
+        host, path, rule, verdict = plain_rule(pages[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (verdict or ("block" if model.predict([pages[r.page_id]], [host], [path])[0] >= 0.5 else "allow"))
+
+
+def test_held_out_urls(spark):
+    """The trees find the rules' verdicts of urls that they have not seen, and lexical features take part in it."""
+    own = url_filter.labelled(url_filter.labelled_sample(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")))
+    whole, bare = url_filter.evaluate(own), url_filter.evaluate(own, url_filter.LEXICAL)
+    assert whole["urls"] > 100 and whole["accuracy"] > 0.97 and whole["recall"] > 0.95
+    assert bare["accuracy"] > max(own.blocked.mean(), 1 - own.blocked.mean()) + 0.05
+    host = own.hosts[0]
+    twin = url_filter.Labelled(own.urls + [f"http://{host}/odd"], own.hosts + [host], own.paths + ["/odd"], np.append(own.blocked, 1.0))
+    assert url_filter.evaluate(twin)["urls"] >= whole["urls"]
+
+
 def test_op3_covers_every_page(spark, duck):
     got = QUERIES["op3_url_filter"](spark, SF).collect()
     assert sorted(r.page_id for r in got) == sorted(r[0] for r in duck.sql("SELECT page_id FROM pages").fetchall())
