@@ -15,6 +15,7 @@ the share of common signatures. All texts of a batch are parsed at once, as arra
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,28 +171,38 @@ def edited(own: np.ndarray, following: np.ndarray) -> np.ndarray:
 def with_successors(documents: DataFrame, buckets: int) -> DataFrame:
     """Rows bucket, last (true for the row that only lends its text), id, doc_id, text; sorted in each bucket.
 
-    Buckets are ranges of ids. The first row of a bucket is also lent to the bucket before it (the first bucket's to
-    the last), so each row meets its successor in its own bucket. The driver holds two numbers a bucket.
+    Buckets are ranges of (id, hash of the text); an id that many rows share (null ids do) is cut by the hashes. The first
+    row of a bucket is also lent to the bucket before it (the first bucket's to the last), so each row meets its successor
+    in its own bucket. The driver holds two numbers a bucket.
     """
     rows = documents.select(common.order_id("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    cuts = sorted(set(rows.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
-    cuts = sorted({min(int(c), common.LAST_ID) for c in cuts})
+    found = rows.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.1 / buckets) if buckets > 1 else []
+    parts = Counter(min(int(c), common.LAST_ID) for c in found)  # a cut that comes m times is an id of about m buckets' rows
+    cuts = [(c, -(2**63) + k * 2**64 // m) for c, m in sorted(parts.items()) for k in range(m)]
+    at_id, at_h = (np.array(x, np.int64) for x in (zip(*cuts, strict=True) if cuts else ([], [])))
 
     @F.pandas_udf("int")
-    def bucket_of(id_):
+    def bucket_of(id_, h):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), id_.to_numpy(np.int64), side="right").astype(np.int32))
+        ids, hashes = id_.to_numpy(np.int64), h.to_numpy(np.int64)
+        out = np.searchsorted(at_id, ids, side="right")
+        for c, m in parts.items():
+            own = np.flatnonzero(ids == c) if m > 1 else ()
+            if len(own):
+                lo = int(np.searchsorted(at_id, c, side="left"))
+                out[own] = lo + np.searchsorted(at_h[lo : lo + m], hashes[own], side="right")
+        return pd.Series(out.astype(np.int32))
 
-    bucket = bucket_of("id")
+    bucket = bucket_of("id", "h")
     thin = rows.select(bucket.alias("bucket"), "id", "h")
     firsts = sorted((r.bucket, r.f.id, r.f.h) for r in thin.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("f")).collect())
     lend = documents.sparkSession.createDataFrame([(i, h, firsts[k - 1][0]) for k, (_, i, h) in enumerate(firsts)], "id long, h long, lender int")
     own = rows.withColumn("bucket", bucket).withColumn("last", F.lit(False))
     lent = rows.join(F.broadcast(lend), ["id", "h"]).dropDuplicates(["id", "h", "lender"]).withColumn("bucket", F.col("lender")).withColumn("last", F.lit(True)).drop("lender")
     both = own.unionByName(lent)
-    return both.repartition(common.parallelism(documents.sparkSession), "bucket").sortWithinPartitions("bucket", "last", "id", "h")
+    return both.repartition(common.partitions_for(documents), "bucket").sortWithinPartitions("bucket", "last", "id", "h")
 
 
 def fingerprint_documents(documents: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -232,8 +243,7 @@ def fingerprint_documents(documents: DataFrame, buckets: int | None = None) -> D
         if len(held) > 1:
             yield work(held)
 
-    spark = documents.sparkSession
-    dealt = with_successors(documents, buckets or 8 * common.parallelism(spark)).select("bucket", "doc_id", "text")
+    dealt = with_successors(documents, buckets or 8 * common.partitions_for(documents)).select("bucket", "doc_id", "text")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

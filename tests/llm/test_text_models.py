@@ -91,6 +91,52 @@ def test_successors_of_odd_tables(spark, buckets):
     assert fingerprint.fingerprint_documents(docs(spark, pairs).limit(0), buckets).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 8, 64])
+def test_rows_without_an_id_are_dealt_over_buckets(spark, buckets):
+    from pyspark.sql import functions as F
+
+    pairs = [(None, f"text {k} of many " * (k % 5 + 1)) for k in range(300)] + [(k, f"own {k}") for k in range(100)] + [(7, f"seven {k}") for k in range(150)]
+    frame = docs(spark, pairs)
+    order = [r.text for r in frame.orderBy(F.coalesce("doc_id", F.lit(2**63 - 1)), F.xxhash64("text")).collect()]
+    half = lambda a, b: a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+    want = sorted(hashlib.sha256(half(a, b).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1]))
+    assert sorted(r.edited_sha256 for r in fingerprint.fingerprint_documents(frame, buckets).collect()) == want
+    if buckets == 64:
+        sizes = [r["count"] for r in fingerprint.with_successors(frame, buckets).where("NOT last").groupBy("bucket").count().collect()]
+        assert max(sizes) < 60
+
+
+def all_names(text):
+    """Every signature of one text: the names of its phrases from the third round on, of lower ones where it is short."""
+    x = fingerprint._mix((fingerprint.points(text).astype(np.uint64) + np.uint64(1)) * fingerprint._M1)
+    held, out, rounds = [set(x.tolist())], set(), 0
+    doc = np.zeros(len(x), np.int64)
+    while len(x):
+        x, doc = fingerprint.next_round(x, doc)
+        rounds += 1
+        if rounds < fingerprint.FROM:
+            held.append(set(x.tolist()))
+        else:
+            out |= set(x.tolist())
+        if len(x) <= 1 and rounds >= fingerprint.FROM:
+            break
+    return out
+
+
+def test_near_estimates_the_share_of_common_signatures(spark, duck):
+    rows = [(i, t or "") for i, t in duck.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()]
+    got = {r.doc_id: r for r in QUERIES["op2_fingerprint"](spark, SF).collect()}
+    off = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        if len(t) < 1500:
+            continue
+        half = len(t) // 2
+        a, e = all_names(t), all_names(t[: len(t) - half] + following[:half])
+        off.append(got[i].near_edited - 2 * len(a & e) / (len(a) + len(e)))
+    assert len(off) > 20 and abs(np.mean(off)) < 0.04 and np.quantile(np.abs(off), 0.9) < 0.2
+
+
 # --- languages --------------------------------------------------------------------------------------------------------
 
 
