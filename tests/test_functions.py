@@ -121,3 +121,41 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT sum(size) FROM fastcdc(CAST(repeat('abcdefgh', 1000) AS BINARY), 256, 1024, 4096)").first()[0] == 8000
     assert rows(spark.sql("SELECT seq, CAST(update AS STRING) FROM split_frames(X'010000006102000000')")) == [(0, "a")]
     assert spark.sql("SELECT unified_diff(CAST('a' AS BINARY), CAST('a' AS BINARY)).kind").first()[0] == "same"
+
+
+def test_shared_folders_are_discarded(spark):
+    from pathlib import Path
+
+    from palimpsest import session
+
+    since = session.made(spark)
+    kept, gone = session.shared_dir(spark), session.shared_dir(spark)
+    for path in (kept, gone):
+        spark.range(3).write.parquet(f"{path}/t")
+    assert session.made(spark) == since + 2
+    session.discard(spark, since, keep=(kept,))
+    assert session.made(spark) == since + 1
+    assert Path(kept.removeprefix("file://")).exists() and not Path(gone.removeprefix("file://")).exists()
+    session.discard(spark, since)
+
+
+def test_hashes_of_groups_run_over_their_pieces(spark):
+    import hashlib
+
+    from palimpsest.functions.hashing import hash_groups, u64_bytes
+
+    pieces = [("a", 2, b"two"), ("a", 1, b"one"), (None, 1, b"n"), (None, 2, None), ("b", 1, None)]
+    frame = spark.createDataFrame([(k, o, d and bytearray(d)) for k, o, d in pieces], "k string, o int, data binary")
+    got = {r.k: (r.parts, r.bytes, r.hash) for r in hash_groups(frame, "k", "o").collect()}
+    sha = lambda d: hashlib.sha256(d).hexdigest()
+    assert got == {"a": (2, 6, sha(b"onetwo")), None: (2, 1, sha(b"n")), "b": (1, 0, sha(b""))}
+    assert hash_groups(frame.limit(0), "k", "o").count() == 0
+    assert bytes(spark.range(1).select(u64_bytes(F.lit(0x0102030405060708))).first()[0]) == bytes(range(8, 0, -1))
+
+
+def test_lossy_text_clock_and_capped_strings(spark):
+    from palimpsest.functions.formats import capped_strings, clock, lossy_text
+
+    frame = spark.createDataFrame([(bytearray(b"a\xffb"), 3_723_004, '{"v": [1, "x", null, "y", "z"]}'), (bytearray("é".encode()), 86_400_000, "no json")], "d binary, ms long, j string")
+    got = frame.select(lossy_text("d"), clock("ms"), capped_strings("j", "v", 2)).collect()
+    assert [tuple(r) for r in got] == [("a�b", "01:02:03.004", ["x", "y"]), ("é", "00:00:00.000", [])]
