@@ -31,6 +31,12 @@ def order_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))
 
 
+def own_column(name: str, of: str = "") -> Column:
+    """A column by its very name, whatever characters it has; of the frame aliased ``of`` where that is given."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like ``name`` that is none of ``taken``, whatever their case."""
     lower = {c.lower() for c in taken}
@@ -100,22 +106,26 @@ def _place(words: np.ndarray, k: int, bits: int) -> np.ndarray:
 
 
 def filter_of(keys: DataFrame, key: str):
-    """A test of a column against a table's keys; its size is bounded, and it never says no to one of them."""
+    """A test of a column against a table's keys, as an expression over a binary literal of bounded size (2 MB at most); it
+    never says no to one of them."""
     bits = min(FILTER_BITS, 1 << max(10, (16 * max(1, keys.count()) - 1).bit_length()))
     word = F.xxhash64(key)
     spots = F.array(*[F.pmod(word + F.lit(k) * (F.shiftrightunsigned(word, 32).bitwiseOR(F.lit(1))), F.lit(bits).cast("long")) for k in range(HASHES)])
     rows = keys.select(F.explode(spots).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("b")).collect()
     table = np.zeros(bits // 64, np.int64)
     table[[r.w for r in rows]] = [r.b for r in rows]
-    shared = keys.sparkSession.sparkContext.broadcast(table.view(np.uint8))
-
-    @F.pandas_udf("boolean")
-    def passes(w):
-        import pandas as pd
-
-        return pd.Series(might_hold(shared.value, w.to_numpy(np.int64).view(np.uint64)))
-
-    return lambda column: passes(F.xxhash64(column))
+    held = F.lit(table.astype("<i8").tobytes())
+
+    def passes(column: Column) -> Column:
+        word, out = F.xxhash64(column), None
+        for k in range(HASHES):
+            spot = F.pmod(word + F.lit(k) * (F.shiftrightunsigned(word, 32).bitwiseOR(F.lit(1))), F.lit(bits).cast("long"))
+            byte = F.conv(F.hex(F.substr(held, (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+            hit = F.getbit(byte, spot.bitwiseAND(F.lit(7)).cast("int")) == 1
+            out = hit if out is None else out & hit
+        return out
+
+    return passes
 
 
 # --- tokenizing -------------------------------------------------------------------------------------------------

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm import common
 
@@ -131,10 +132,10 @@ class LsmIndex:
             yield from table.flush(f"{task:07d}-{n:05d}")
 
         own = [common.order_id("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")]
-        schema = RUN_SCHEMA
+        schema = T.StructType.fromDDL(RUN_SCHEMA)
         if whole:
-            own.append(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-            schema += f", row {documents.select(own[-1]).schema[0].dataType.simpleString()}"
+            own.append(F.struct(*[common.own_column(c) for c in documents.columns]).alias("row"))
+            schema = schema.add("row", documents.select(own[-1]).schema[0].dataType)
         return common.materialise(documents.select(*own).mapInArrow(fill, schema), f"{self.path}/runs")
 
     @staticmethod

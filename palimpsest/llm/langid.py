@@ -240,7 +240,9 @@ def keep_identified(documents: DataFrame, least_score: float = LEAST_SCORE) -> D
             pred, score = profiles.judge(part.column(place).to_pylist())
             yield part.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    # mapInArrow looks columns up by name, which names with dots or marks don't survive
+    plain = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*documents.columns)
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def numbered(rows: DataFrame, times: str, n: str) -> DataFrame:
     if not rows.where(size > REPEATS).isEmpty():
         parts = parts.repartition(common.parallelism(rows.sparkSession))
     first = F.col(part) * REPEATS
-    return parts.select(*[F.col(f"`{c}`") for c in own], F.explode(F.sequence(first + 1, F.least(first + REPEATS, size))).alias(n))
+    return parts.select(*[common.own_column(c) for c in own], F.explode(F.sequence(first + 1, F.least(first + REPEATS, size))).alias(n))
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, seed: int = SEED, near: float = NEAR) -> DataFrame:
@@ -224,22 +224,22 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     copies = common.materialise(mix(documents, **how).select("doc_id", "source", "size", "copies"), f"{path}/copies")
     names = documents.columns
     due, size, n = common.fresh("due", names), common.fresh("size", names), common.fresh("n", names)
-    own = [F.col(f"d.`{c}`") for c in names]
+    own = [common.own_column(c, "d") for c in names]
     by_id = copies.groupBy("doc_id", "source").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows"))
     met = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("m.source"))
     single = documents.alias("d").join(by_id.where("rows = 1 AND total > 0").alias("m"), met)
-    out = single.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.total"))).alias(n)).select(*names)
+    out = single.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.total"))).alias(n)).select(*[common.own_column(c) for c in names])
     shared = common.materialise(by_id.where("rows > 1").select("doc_id", "source"), f"{path}/shared")
     if shared.isEmpty():
         return out
     by_size = copies.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 0")
     some = by_size.alias("c").join(shared.alias("s"), F.expr("c.doc_id <=> s.doc_id AND c.source <=> s.source"), "left_semi")
     sized = documents.withColumn(size, word_count())
-    rows = sized.alias("d").join(some.alias("m"), met & (F.col(f"d.`{size}`") == F.col("m.size")))
+    rows = sized.alias("d").join(some.alias("m"), met & (common.own_column(size, "d") == F.col("m.size")))
     order = Window.partitionBy("m.doc_id", "m.source", "m.size").orderBy(F.xxhash64("d.text"), "d.text")
     each = F.expr("m.total div m.rows") + F.when(F.row_number().over(order) <= F.col("m.total") % F.col("m.rows"), 1).otherwise(0)
     rows = rows.select(*own, each.cast("long").alias(due)).where(F.col(due) > 0)
-    return out.unionByName(rows.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(due))).alias(n)).select(*names))
+    return out.unionByName(rows.select(*[common.own_column(c) for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col(due))).alias(n)).select(*[common.own_column(c) for c in names]))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

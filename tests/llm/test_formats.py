@@ -444,7 +444,7 @@ def test_pipeline_of_odd_tables(spark):
     rows = [(1, "the cat", "en", "a"), (1, "the cat", "en", "a"), (None, "the dog sat", None, None), (2, None, "en", "a"), (3, "", "en", "b"), (4, "12", "en", "b"), (5, "the cat  sat", "en", None), (6, "the cat sat " * 50_000, "en", "c")]
     for own in (rows, []):
         frame = spark.createDataFrame([(*r, 1, "x") for r in own], "doc_id long, text string, lang string, source string, n_chars long, fp string")
-        for name in ("__n", "__due", "__size", "__judged", "__sha", "row", "key", "grp", "maybe", "ids", "id", "digest"):
+        for name in ("__n", "__due", "__size", "__judged", "__sha", "row", "key", "grp", "maybe", "ids", "id", "digest", "a name, with `marks`.x"):
             frame = frame.withColumn(name, F.lit("own"))
         for _, stage in p.STAGES:
             frame = common.materialise(stage(spark, frame, SF), f"{common.shared_dir(spark)}/o")
