@@ -14,8 +14,8 @@ their maximum coordinate difference, and the survivors are verified bit by bit.
 forest only, so its output is linear in its size. A bucket above ``SPLIT`` fingerprints is cut again by the pigeonhole
 principle over the bits in which they differ before pairs are looked at.
 
-Components come from alternating large-star and small-star steps over the links, as joins and aggregations; no links
-or components are collected.
+Components come from trees that tasks join of their own shares of the links, and from alternating large-star and
+small-star steps over those trees, as joins and aggregations; no links or components are collected.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm import common
 
@@ -231,11 +232,34 @@ def links(distinct: DataFrame, blocks: int) -> DataFrame:
 # --- components ------------------------------------------------------------------------------------------------------
 
 
-def star_components(edges: DataFrame, path: str) -> DataFrame:
+#: Links that one task joins into trees.
+LINKS_A_TASK = 1 << 20
+
+
+def trees(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (a, b) that join each node to the least one of its tree, the edges being dealt over ``parts`` tasks of which
+    each joins its own."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy() for c in x.columns], 1) for x in batches if x.num_rows]
+        pairs = np.concatenate(held) if held else np.empty((0, 2), np.int64)
+        nodes = np.unique(pairs)
+        at = np.searchsorted(nodes, pairs)
+        _, parent = forest(len(nodes), at[:, 0], at[:, 1])
+        while len(parent) and not (parent[parent] == parent).all():
+            parent = parent[parent]
+        low = parent < np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[parent[low]])], schema=_OUT)
+
+    return edges.repartition(parts).mapInArrow(join, "a long, b long")
+
+
+def star_components(edges: DataFrame, path: str, links_a_task: int = LINKS_A_TASK) -> DataFrame:
     """node and root (the least node of its component, itself included) for each node on an edge (a, b).
 
-    Alternating large-star and small-star steps until no edge changes; each round is written to ``path``. The least node
-    of a large component is on most of its edges, so lookups by node are salted.
+    Each task joins its share of the edges into trees first. Several tasks' trees are joined by alternating large-star and
+    small-star steps until no edge changes; each round is written to ``path``. The least node of a large component is on
+    most of its edges, so lookups by node are salted.
     """
 
     def settle(e: DataFrame, k: int) -> tuple[DataFrame, tuple]:
@@ -243,9 +267,11 @@ def star_components(edges: DataFrame, path: str) -> DataFrame:
         return out, tuple(out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     # an edge is (a, b) with a > b
-    now, was = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), 0)
+    own = common.materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{path}/links")
+    parts = max(1, -(-own.count() // links_a_task))
+    now, was = settle(trees(own, parts), 0)
     k = 0
-    while was[0]:
+    while parts > 1:
         k += 1
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -326,8 +352,8 @@ def sketched(documents: DataFrame, shingle: int, path: str) -> DataFrame:
             k, same, n, fp, bands = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
             yield pa.RecordBatch.from_arrays([k, part.column(0), same, n, fp, bands, part.column(2)], names=["key", "id", "same", "n", "fp", "bands", "row"])
 
-    own = documents.select(common.order_id("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    return common.materialise(own.mapInArrow(make, f"{_SKETCH}, row {own.schema['row'].dataType.simpleString()}"), path)
+    own = documents.select(common.order_id("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[common.own_column(c) for c in documents.columns]).alias("row"))
+    return common.materialise(own.mapInArrow(make, T.StructType.fromDDL(_SKETCH).add("row", own.schema["row"].dataType)), path)
 
 
 def plausible(fp: np.ndarray, n: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
@@ -447,15 +473,20 @@ def similar(documents: DataFrame, shingle: int = 5, least: float = 0.8, split: i
     each = nodes.select("key", "n", "fp", F.posexplode("bands").alias("band", "code"))
     sizes = each.groupBy("band", "code").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = common.materialise(each.join(sizes, ["band", "code"]), f"{path}/buckets")
-    wanted = buckets.select("key").distinct()
-    sets = _sets_of(rows, common.materialise(wanted, f"{path}/wanted"), shingle, f"{path}/sets")
     tested = links_ = None
     groups = nodes.select("key", F.col("key").alias("comp"))
-    for k in range(4):
-        every = k == 3
+    for k in range(3):
+        every = k == 2
         open_ = buckets.join(groups, "key")
         open_ = open_.join(open_.groupBy("band", "code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "code"), ["band", "code"]) if k else open_
         pairs = bucket_pairs(_dealt(open_, split, every, k), least, every)
+        if not k:
+            # Whoever has a plausible partner proposes one now, so these are all nodes whose sets are ever asked for, but
+            # for those that met a part of their bucket only.
+            pairs = common.materialise(pairs, f"{path}/pairs")
+            wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+            wanted = wanted.unionByName(buckets.where(F.col("size") > split).select("key")).distinct()
+            sets = _sets_of(rows, common.materialise(wanted, f"{path}/wanted"), shingle, f"{path}/sets")
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         told = common.materialise(verified(pairs, sets, least), f"{path}/tested-{k}")
@@ -482,7 +513,8 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, shingle: int, path: str) -> Dat
 
         return pd.Series([shingle_set(t if isinstance(t, str) else None, shingle).tobytes() for t in text])
 
-    texts = rows.select("key", F.col("row.text").cast("string").alias("text")).join(wanted, "key", "left_semi")
+    texts = rows.select("key", F.col("row.text").cast("string").alias("text"))
+    texts = texts.where(common.filter_of(wanted, "key")(F.col("key"))).join(wanted, "key", "left_semi")
     return common.materialise(texts.select("key", hashes("text").alias("hashes")), path)
 
 

@@ -212,3 +212,23 @@ def test_one_of_each_keeps_the_smallest_id(spark):
         groups.setdefault(g, []).append(2**63 if i is None else i)
     assert sorted(2**63 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
     assert simhash.one_of_each(docs(spark, pairs).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("links_a_task", [7, 50, 1 << 20])
+def test_components_of_any_number_of_tasks(spark, tmp_path, links_a_task):
+    import random
+
+    rng = random.Random(links_a_task)
+    edges = [(i, i + 1) for i in range(60)] + [(500, 501 + i) for i in range(40)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(5, 5), (2**63 - 1, -(2**63))]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = simhash.star_components(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}", links_a_task).collect()
+    assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in parent if any(x in e and e[0] != e[1] for e in edges))
