@@ -316,41 +316,44 @@ BANDS, ROWS = 20, 4
 #: Bits in which fingerprints of texts of similarity 0.8 differ at most: 10 on average, with a deviation of 3.
 APART = 23
 _A = np.random.default_rng(80).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_SKETCH = "key long, id long, same binary, n long, fp long, bands array<long>"
+#: Minima, of all ``BANDS * ROWS``, that two texts of similarity 0.8 have in common at least: 64 on average, deviation 3.6.
+COMMON = 48
+_SKETCH = "key long, id long, same binary, n long, fp long, bands array<long>, low binary"
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each band, from the minima of ``ROWS`` permutations of the shingles' hashes."""
+def minima(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """The minima of the shingles' hashes under ``BANDS * ROWS`` permutations: a key for each band of ``ROWS`` of them, and
+    the last byte of each."""
     low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(hashes), 4096):
         h = hashes[i : i + 4096, None] * _A
         low = np.minimum(low, (h ^ (h >> np.uint64(32))).min(0))
     mixed = (low.reshape(BANDS, ROWS) * _A[:ROWS]).sum(1, dtype=np.uint64)
-    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64).tolist()
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64).tolist(), low.astype(np.uint8).tobytes()
 
 
 def sketched(documents: DataFrame, shingle: int, path: str) -> DataFrame:
     """The documents as a column ``row``, with key (one a row), id, same (a hash of the set of shingles), n (its size),
-    fp and bands; written to ``path``, so that the keys stay."""
+    fp, bands and low; written to ``path``, so that the keys stay."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 33
         for part in parts:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for text in part.column(1):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 own = np.unique(hashes)
-                told = (key, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), np.uint64(fingerprint(hashes)).view(np.int64), band_keys(own) if len(own) else [])
+                told = (key, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), np.uint64(fingerprint(hashes)).view(np.int64), *(minima(own) if len(own) else ([], b"")))
                 for c, x in zip(cols, told, strict=True):
                     c.append(x)
                 key += 1
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            k, same, n, fp, bands = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
-            yield pa.RecordBatch.from_arrays([k, part.column(0), same, n, fp, bands, part.column(2)], names=["key", "id", "same", "n", "fp", "bands", "row"])
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            k, same, n, fp, bands, low = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([k, part.column(0), same, n, fp, bands, low, part.column(2)], names=["key", "id", "same", "n", "fp", "bands", "low", "row"])
 
     own = documents.select(common.order_id("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[common.own_column(c) for c in documents.columns]).alias("row"))
     return common.materialise(own.mapInArrow(make, T.StructType.fromDDL(_SKETCH).add("row", own.schema["row"].dataType)), path)
@@ -363,49 +366,61 @@ def plausible(fp: np.ndarray, n: np.ndarray, comp: np.ndarray, i: np.ndarray, j:
     return (comp[i] != comp[j]) & (small >= least * large) & (np.bitwise_count(fp[i] ^ fp[j]) <= APART)
 
 
-def proposals(key: np.ndarray, fp: np.ndarray, n: np.ndarray, comp: np.ndarray, least: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+def agree(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs of places: whether they have enough minima in common."""
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        out[part] = (low[i[part]] == low[j[part]]).sum(1) >= COMMON
+    return out
+
+
+def proposals(key: np.ndarray, fp: np.ndarray, n: np.ndarray, comp: np.ndarray, low: np.ndarray, least: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a bucket to look at: all plausible ones, or for each member the nearest and the first plausible one."""
-    size = len(key)
+    size, out, step = len(key), [], max(1, PAIRS // len(key))
     if every or size <= 8:
-        out, step = [], max(1, PAIRS // size)
         for lo in range(0, size, step):
             i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, min(lo + step, size)), np.arange(size), indexing="ij"))
             ahead = j > i
             i, j = i[ahead], j[ahead]
             ok = plausible(fp, n, comp, i, j, least)
-            out.append((key[i[ok]], key[j[ok]]))
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-    order = np.argsort(key)
-    key, fp, n, comp = key[order], fp[order], n[order], comp[order]
-    mine, other, step = [], [], max(1, PAIRS // size)
-    for lo in range(0, size, step):
-        own = np.arange(lo, min(lo + step, size))
-        i, j = np.meshgrid(own, np.arange(size), indexing="ij")
-        ok = plausible(fp, n, comp, i.ravel(), j.ravel(), least).reshape(i.shape)
-        apart = np.where(ok, np.bitwise_count(fp[own][:, None] ^ fp[None, :]), 99)
-        any_ = ok.any(1)
-        for at in (apart.argmin(1), ok.argmax(1)):
-            mine.append(key[own[any_]])
-            other.append(key[at[any_]])
-    return np.concatenate(mine), np.concatenate(other)
+            out.append((i[ok], j[ok]))
+    else:
+        # in order of nearness to the bucket's middle, so the first plausible one is what most are copies of
+        ones = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        middle = np.packbits(2 * ones > size, bitorder="little").view("<u8")[0]
+        order = np.lexsort((key, np.bitwise_count(fp ^ middle)))
+        key, fp, n, comp, low = key[order], fp[order], n[order], comp[order], low[order]
+        for lo in range(0, size, step):
+            own = np.arange(lo, min(lo + step, size))
+            i, j = np.meshgrid(own, np.arange(size), indexing="ij")
+            ok = plausible(fp, n, comp, i.ravel(), j.ravel(), least).reshape(i.shape)
+            apart = np.where(ok, np.bitwise_count(fp[own][:, None] ^ fp[None, :]), 99)
+            some = ok.any(1)
+            out += [(own[some], at[some]) for at in (apart.argmin(1), ok.argmax(1))]
+    i, j = np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+    ok = agree(low, i, j)
+    return key[i[ok]], key[j[ok]]
 
 
 def bucket_pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """Distinct pairs (a < b) of the buckets (band, code, salt) of rows key, fp, n, comp."""
+    """Distinct pairs (a < b) of the buckets (band, code, salt) of rows key, fp, n, comp, low."""
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-            band, code, salt, key, fp, n, comp = cols
+            band, code, salt, key, fp, n, comp = cols[:7]
+            low = np.frombuffer(b"".join(cols[7].tolist()), np.uint8).reshape(len(band), BANDS * ROWS)
             start = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (code[1:] != code[:-1]) | (salt[1:] != salt[:-1])])
             ends = np.r_[start[1:], len(band)]
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             two = ends - start == 2
             i = start[two]
-            ok = plausible(fp, n, comp, i, i + 1, least)
-            a.append(key[i[ok]])
-            b.append(key[i[ok] + 1])
+            i = i[plausible(fp, n, comp, i, i + 1, least)]
+            i = i[agree(low, i, i + 1)]
+            a.append(key[i])
+            b.append(key[i + 1])
             for lo, hi in zip(start[ends - start > 2].tolist(), ends[ends - start > 2].tolist(), strict=True):
-                x, y = proposals(key[lo:hi], fp[lo:hi], n[lo:hi], comp[lo:hi], least, every)
+                x, y = proposals(key[lo:hi], fp[lo:hi], n[lo:hi], comp[lo:hi], low[lo:hi], least, every)
                 a.append(x)
                 b.append(y)
             pair = np.sort(np.stack([np.concatenate(a), np.concatenate(b)], 1), 1)
@@ -431,7 +446,7 @@ def bucket_pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
             yield found([np.concatenate(c) for c in zip(*pending, strict=True)])
 
     by = ["band", "code", "salt"]
-    dealt = rows.select(*by, "key", "fp", "n", "comp").repartition(common.parallelism(rows.sparkSession), *by).sortWithinPartitions(*by)
+    dealt = rows.select(*by, "key", "fp", "n", "comp", "low").repartition(common.parallelism(rows.sparkSession), *by).sortWithinPartitions(*by)
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
@@ -445,7 +460,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
         out = []
         for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(both >= least * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
@@ -459,24 +474,24 @@ def similar(documents: DataFrame, shingle: int = 5, least: float = 0.8, split: i
     that links reach.
 
     Fingerprints of 64 bits differ in about 10 bits at that similarity, too many for buckets of equal bits, so candidates
-    share a band of minima of their shingles' hashes; sizes and fingerprints discard most, and the sets decide about the
-    rest. Each member of a bucket is first compared with its nearest and with the bucket's first plausible member, which
-    joins crowds of near copies in a few rounds; then every plausible pair that is still of different groups is. Texts
+    share a band of minima of their shingles' hashes; sizes, fingerprints and the minima themselves discard most, and the
+    sets, of hashes of 32 bits, decide about the rest. Each member of a bucket is first compared with its nearest and with the plausible member nearest to the bucket's
+    middle, which joins crowds of near copies in a few rounds; then every plausible pair that is still of different groups is. Texts
     with one set of shingles are one node, so copies never meet. A bucket above ``split`` nodes is dealt over tasks: in
     the first rounds by lots, in the last one the nodes outside its largest group meet all its parts.
     """
     spark = documents.sparkSession
     path = common.shared_dir(spark)
     rows = sketched(documents, shingle, f"{path}/sketched")
-    nodes = rows.groupBy("same").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("same").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     nodes = common.materialise(nodes, f"{path}/nodes")
-    each = nodes.select("key", "n", "fp", F.posexplode("bands").alias("band", "code"))
+    each = nodes.select("key", "n", "fp", "low", F.posexplode("bands").alias("band", "code"))
     sizes = each.groupBy("band", "code").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = common.materialise(each.join(sizes, ["band", "code"]), f"{path}/buckets")
     tested = links_ = None
     groups = nodes.select("key", F.col("key").alias("comp"))
-    for k in range(3):
-        every = k == 2
+    for k in range(4):
+        every = k == 3
         open_ = buckets.join(groups, "key")
         open_ = open_.join(open_.groupBy("band", "code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "code"), ["band", "code"]) if k else open_
         pairs = bucket_pairs(_dealt(open_, split, every, k), least, every)
@@ -505,13 +520,13 @@ def similar(documents: DataFrame, shingle: int = 5, least: float = 0.8, split: i
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
-    """key and hashes (the sorted set of shingles, eight bytes each) of the wanted nodes."""
+    """key and hashes (the sorted set of shingles, four bytes each) of the wanted nodes."""
 
     @F.pandas_udf("binary")
     def hashes(text):
         import pandas as pd
 
-        return pd.Series([shingle_set(t if isinstance(t, str) else None, shingle).tobytes() for t in text])
+        return pd.Series([np.unique(shingle_set(t if isinstance(t, str) else None, shingle).astype(np.uint32)).tobytes() for t in text])
 
     texts = rows.select("key", F.col("row.text").cast("string").alias("text"))
     texts = texts.where(common.filter_of(wanted, "key")(F.col("key"))).join(wanted, "key", "left_semi")
