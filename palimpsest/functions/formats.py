@@ -1,4 +1,4 @@
-"""Sizes, times and rates for people, with the present always as an argument. Ties round to even digits."""
+"""Sizes, times and rates for people, with the present always as an argument. Ties round to even digits; null stays null."""
 
 from __future__ import annotations
 
@@ -11,25 +11,32 @@ KB, MB, GB = 1 << 10, 1 << 20, 1 << 30
 
 
 def format_bytes(n: Column | str) -> Column:
+    """B, KB (whole ones), MB or GB of a number of bytes."""
     n = col(n)
+    # Spark rounds the shortest decimals of a double, which may be a tie where its value is none: the value is an integer
+    # over 2**30, so its hundredths are counted in integers.
+    whole = n.cast("double").cast("long")
+    cents = whole.bitwiseAND(F.lit(GB - 1)) * 100
+    rest, down = cents.bitwiseAND(F.lit(GB - 1)), F.shiftright(cents, 30)
+    cents = down + F.when(rest > GB // 2, 1).when(rest == GB // 2, down % 2).otherwise(0)
     return (
-        F.when(n >= GB, F.format_string("%.2f GB", F.bround(n / GB, 2)))
+        F.when(n >= GB, F.format_string("%d.%02d GB", F.shiftright(whole, 30) + F.when(cents == 100, 1).otherwise(0), cents % 100))
         .when(n >= MB, F.format_string("%.1f MB", F.bround(n / MB, 1)))
         .when(n >= KB, F.format_string("%d KB", F.floor(n / KB)))
-        .otherwise(F.format_string("%d B", n))
+        .when(n.isNotNull(), F.format_string("%d B", n))
     )
 
 
 def format_ago(then_ms: Column | str, now_ms: Column | int) -> Column:
     """never, just now, minutes, hours or days ago; times to come count as now."""
     then, now = col(then_ms), now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
-    ago = F.greatest(F.lit(0), F.floor(now / 1000) - F.floor(then / 1000))
+    ago = F.floor(now / 1000) - F.floor(then / 1000)
     return (
         F.when(then == 0, "never")
         .when(ago < 60, "just now")
         .when(ago < 3600, F.format_string("%d min ago", F.floor(ago / 60)))
         .when(ago < 86400, F.format_string("%d hours ago", F.floor(ago / 3600)))
-        .otherwise(F.format_string("%d days ago", F.floor(ago / 86400)))
+        .when(ago.isNotNull(), F.format_string("%d days ago", F.floor(ago / 86400)))
     )
 
 
@@ -40,7 +47,7 @@ def format_duration(seconds: Column | str) -> Column:
         F.when(days > 0, F.format_string("%dd %dh", days, hours))
         .when(hours > 0, F.format_string("%dh %dm", hours, mins))
         .when(mins > 0, F.format_string("%dm %ds", mins, s % 60))
-        .otherwise(F.format_string("%ds", s % 60))
+        .when(s.isNotNull(), F.format_string("%ds", s % 60))
     )
 
 

@@ -46,6 +46,17 @@ def test_bytes(spark, n, want):
     assert spark.range(1).select(formats.format_bytes(F.lit(n))).first()[0] == want
 
 
+# the values of these doubles lie beside the middle between two hundredths, or on it, or round up to a whole
+@pytest.mark.parametrize("n, want", [(44320966934622372, "41277117.03 GB"), (45128061136446425, "42028782.09 GB"), (1 << 30, "1.00 GB"), ((1 << 30) + (1 << 27), "1.12 GB"), ((1 << 30) + 3 * (1 << 27), "1.38 GB"), ((2 << 30) - 1, "2.00 GB"), (2**63 - 1, "8589934592.00 GB"), (None, None)])
+def test_gigabytes_round_by_value(spark, n, want):
+    assert spark.range(1).select(formats.format_bytes(F.lit(n).cast("long"))).first()[0] == want
+
+
+def test_null_values_stay_null(spark):
+    none = F.lit(None).cast("long")
+    assert tuple(spark.range(1).select(formats.format_bytes(none), formats.format_ago(none, 1), formats.format_duration(none)).first()) == (None, None, None)
+
+
 @pytest.mark.parametrize("s, want", [(5, "5s"), (75, "1m 15s"), (3 * 3600 + 14 * 60, "3h 14m"), (2 * 86400 + 5 * 3600, "2d 5h")])
 def test_durations(spark, s, want):
     assert spark.range(1).select(formats.format_duration(F.lit(s))).first()[0] == want
