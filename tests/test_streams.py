@@ -2,6 +2,7 @@ import json
 import os
 import time
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -124,6 +125,20 @@ def test_runs_and_totals_do_not_depend_on_the_cells(spark):
         assert sorted(rows(ranges.running_total(lines, "s", "i", F.col("i"), "before", cells), "i", "before")) == want
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_a_vault_of_all_is_fanned_out_by_all_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr(streams, "MOST_TOLD", most)
+    sent = [("v" if i % 20 else None, f"d{i % 7}", i) for i in range(4000)]
+    who = [("v", f"d{i}") for i in range(30)] + [("v", None), (None, "d1"), ("w", "d2")]
+    messages = spark.createDataFrame(sent, "vault string, device string, value long").coalesce(1)
+    told = streams.fan_out(messages, spark.createDataFrame(who, "vault string, subscriber string"))
+    assert sorted(map(tuple, told.select("value", F.coalesce("subscriber", F.lit("-"))).collect())) == sorted((n, s or "-") for v, d, n in sent for w, s in who if v and v == w and d != s)
+    if not most:
+        return  # small shuffles are read together
+    loads = [r["n"] for r in told.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(loads) > 1 and max(loads) < 2 * sum(loads) / len(loads)
+
+
 def test_logs_and_frames_are_streamed(spark, tmp_path):
     batches = [[{"vault": "v", "device": "a", "value": "1"}, {"vault": "w", "device": "a", "value": "2"}], [{"vault": "v", "device": "b", "value": "3"}]]
     sent, subscribers = [], spark.createDataFrame([("v", "a"), ("v", "b"), ("w", "c")], "vault string, subscriber string")
