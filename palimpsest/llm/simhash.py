@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -316,156 +316,142 @@ BANDS, ROWS = 20, 4
 #: Bits in which fingerprints of texts of similarity 0.8 differ at most: 10 on average, with a deviation of 3.
 APART = 23
 _A = np.random.default_rng(80).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-#: Minima, of all ``BANDS * ROWS``, that two texts of similarity 0.8 have in common at least: 64 on average, deviation 3.6.
-COMMON = 48
-_SKETCH = "key long, id long, same binary, n long, fp long, bands array<long>, low binary"
+_SKETCH = "key long, id long, same binary, n int, fp long, bands array<long>"
+#: Shingles that count as one member where a bucket's load is told, so that few long texts are as much as many short ones.
+LOAD = 256
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def minima(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """The minima of the shingles' hashes under ``BANDS * ROWS`` permutations: a key for each band of ``ROWS`` of them, and
-    the last byte of each."""
+def minima(hashes: np.ndarray) -> list[int]:
+    """A key for each band of ``ROWS`` minima of the shingles' hashes under ``BANDS * ROWS`` permutations."""
     low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(hashes), 4096):
         h = hashes[i : i + 4096, None] * _A
         low = np.minimum(low, (h ^ (h >> np.uint64(32))).min(0))
-    mixed = (low.reshape(BANDS, ROWS) * _A[:ROWS]).sum(1, dtype=np.uint64)
-    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64).tolist(), low.astype(np.uint8).tobytes()
+    mixed = (low * _A).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)  # bands have factors of their own
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64).tolist()
 
 
 def sketched(documents: DataFrame, shingle: int, path: str) -> DataFrame:
     """The documents as a column ``row``, with key (one a row), id, same (a hash of the set of shingles), n (its size),
-    fp, bands and low; written to ``path``, so that the keys stay."""
+    fp and bands; written to ``path``, so that the keys stay."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 33
         for part in parts:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(5)]
             for text in part.column(1):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 own = np.unique(hashes)
-                told = (key, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), np.uint64(fingerprint(hashes)).view(np.int64), *(minima(own) if len(own) else ([], b"")))
+                told = (key, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), np.uint64(fingerprint(hashes)).view(np.int64), minima(own) if len(own) else [])
                 for c, x in zip(cols, told, strict=True):
                     c.append(x)
                 key += 1
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            k, same, n, fp, bands, low = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
-            yield pa.RecordBatch.from_arrays([k, part.column(0), same, n, fp, bands, low, part.column(2)], names=["key", "id", "same", "n", "fp", "bands", "low", "row"])
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            k, same, n, fp, bands = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([k, part.column(0), same, n, fp, bands, part.column(2)], names=["key", "id", "same", "n", "fp", "bands", "row"])
 
     own = documents.select(common.order_id("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[common.own_column(c) for c in documents.columns]).alias("row"))
     return common.materialise(own.mapInArrow(make, T.StructType.fromDDL(_SKETCH).add("row", own.schema["row"].dataType)), path)
 
 
-def plausible(fp: np.ndarray, n: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Of pairs of places: whether they may be as similar as ``least``, by sizes and fingerprints, and are not known to be
-    of one group."""
-    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    return (comp[i] != comp[j]) & (small >= least * large) & (np.bitwise_count(fp[i] ^ fp[j]) <= APART)
-
-
-def agree(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of pairs of places: whether they have enough minima in common."""
-    out = np.empty(len(i), bool)
-    for at in range(0, len(i), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        out[part] = (low[i[part]] == low[j[part]]).sum(1) >= COMMON
-    return out
-
-
-def proposals(key: np.ndarray, fp: np.ndarray, n: np.ndarray, comp: np.ndarray, low: np.ndarray, least: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket to look at: all plausible ones, or for each member the nearest and the first plausible one."""
-    size, out, step = len(key), [], max(1, PAIRS // len(key))
-    if every or size <= 8:
-        for lo in range(0, size, step):
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, min(lo + step, size)), np.arange(size), indexing="ij"))
-            ahead = j > i
-            i, j = i[ahead], j[ahead]
-            ok = plausible(fp, n, comp, i, j, least)
-            out.append((i[ok], j[ok]))
-    else:
-        # in order of nearness to the bucket's middle, so the first plausible one is what most are copies of
-        ones = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        middle = np.packbits(2 * ones > size, bitorder="little").view("<u8")[0]
-        order = np.lexsort((key, np.bitwise_count(fp ^ middle)))
-        key, fp, n, comp, low = key[order], fp[order], n[order], comp[order], low[order]
-        for lo in range(0, size, step):
-            own = np.arange(lo, min(lo + step, size))
-            i, j = np.meshgrid(own, np.arange(size), indexing="ij")
-            ok = plausible(fp, n, comp, i.ravel(), j.ravel(), least).reshape(i.shape)
-            apart = np.where(ok, np.bitwise_count(fp[own][:, None] ^ fp[None, :]), 99)
-            some = ok.any(1)
-            out += [(own[some], at[some]) for at in (apart.argmin(1), ok.argmax(1))]
-    i, j = np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-    ok = agree(low, i, j)
-    return key[i[ok]], key[j[ok]]
-
-
-def bucket_pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """Distinct pairs (a < b) of the buckets (band, code, salt) of rows key, fp, n, comp, low."""
+def set_links(fps: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Places (i, j) of a spanning forest of the links among the members of a bucket, by their sets of shingles.
 
-    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-            band, code, salt, key, fp, n, comp = cols[:7]
-            low = np.frombuffer(b"".join(cols[7].tolist()), np.uint8).reshape(len(band), BANDS * ROWS)
-            start = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (code[1:] != code[:-1]) | (salt[1:] != salt[:-1])])
-            ends = np.r_[start[1:], len(band)]
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            two = ends - start == 2
-            i = start[two]
-            i = i[plausible(fp, n, comp, i, i + 1, least)]
-            i = i[agree(low, i, i + 1)]
-            a.append(key[i])
-            b.append(key[i + 1])
-            for lo, hi in zip(start[ends - start > 2].tolist(), ends[ends - start > 2].tolist(), strict=True):
-                x, y = proposals(key[lo:hi], fp[lo:hi], n[lo:hi], comp[lo:hi], low[lo:hi], least, every)
-                a.append(x)
-                b.append(y)
-            pair = np.sort(np.stack([np.concatenate(a), np.concatenate(b)], 1), 1)
-            pair = np.unique(pair, axis=0) if len(pair) else pair
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=_OUT)
-
-        pending: list[list[np.ndarray]] = []
-        for part in parts:
-            new = [c.to_numpy(zero_copy_only=False) for c in part.columns]
-            if not len(new[0]):
-                continue
-            new[4] = new[4].view(np.uint64)
-            if pending and all(c[-1] == p[0] for c, p in zip(new[:3], pending[0][:3], strict=True)):
-                pending.append(new)  # a bucket that goes on
-                continue
-            held = [np.concatenate(c) for c in zip(*pending, new, strict=True)]
-            other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
-            last = int(other[-1]) + 1 if len(other) else 0
-            if last:
-                yield found([c[:last] for c in held])
-            pending = [[c[last:] for c in held]]
-        if pending:
-            yield found([np.concatenate(c) for c in zip(*pending, strict=True)])
-
-    by = ["band", "code", "salt"]
-    dealt = rows.select(*by, "key", "fp", "n", "comp", "low").repartition(common.parallelism(rows.sparkSession), *by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(search, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b, alike of pairs: whether the sets of shingles (key, hashes) have at least ``least`` of their union in common."""
-    met = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+    Pivot distance table: each member's distance (one less the similarity, which is a metric) to ``PIVOTS`` members, each
+    chosen farthest from those before. It links whoever is near a pivot, and by the triangle inequality discards pairs
+    whose distances to some pivot differ too much. Of the survivors those in one tree need no look, fingerprints discard
+    more, and the sets decide about the rest.
+    """
+    n = np.array([len(x) for x in sets])
+    at = np.arange(len(sets))
+    if len(sets) > 2:
+        # what a member shares with no other can't be common to two
+        _, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.add.reduceat((count[inv] > 1).astype(np.int64), np.r_[0, np.cumsum(n)[:-1]])
+        at = np.flatnonzero(shared >= least * n)
+    if len(at) < 2:
+        return np.empty((0, 2), np.int64)
+    n, fps, sets = n[at], fps[at], [sets[i] for i in at]
+    size, kept, comp = len(sets), [], np.arange(len(sets))
+    words, inv = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.r_[0, np.cumsum(n)[:-1]]
+    mark = np.zeros(len(words), bool)
+
+    def common_with(i: int, others: np.ndarray | None = None) -> np.ndarray:
+        """How many shingles member i has in common with the others, or with each member."""
+        own = inv[start[i] : start[i] + n[i]]
+        mark[own] = True
+        if others is None:
+            out = np.add.reduceat(mark[inv].astype(np.int64), start)
+        else:
+            out = np.array([np.count_nonzero(mark[inv[start[j] : start[j] + n[j]]]) for j in others.tolist()])
+        mark[own] = False
+        return out
+
+    def join(i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            a, b = comp[i], comp[j]
+            if a != b:
+                comp[comp == max(a, b)] = min(a, b)
+                kept.append((i, j))
+
+    ones = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    middle = np.packbits(2 * ones > size, bitorder="little").view("<u8")[0]
+    pivot, table, near = int(np.bitwise_count(fps ^ middle).argmin()), [], np.full(size, 2.0)
+    for _ in range(min(size - 1, PIVOTS)):
+        both = common_with(pivot)
+        table.append(1 - both / (n + n[pivot] - both))
+        join(pivot, np.flatnonzero(both >= least * (n + n[pivot] - both)))
+        near = np.minimum(near, table[-1])
+        near[pivot] = -1
+        pivot = int(near.argmax())
+    if size - 1 > PIVOTS:
+        table = np.stack(table, 1)
+        for i in range(size - 1):
+            j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            j = j[np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])]
+            j = j[np.abs(table[j] - table[i]).max(1, initial=0) <= 1 - least + 1e-9]
+            j = j[np.bitwise_count(fps[j] ^ fps[i]) <= APART]
+            if len(j):
+                both = common_with(i)[j] if 16 * len(j) > size else common_with(i, j)
+                join(i, j[both >= least * (n[i] + n[j] - both)])
+    return at[np.array(kept, np.int64).reshape(-1, 2)]
+
+
+def bucket_forests(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) whose transitive closure is that of all links within the buckets (code, salt) of rows key, fp, hashes."""
 
-    @F.pandas_udf("boolean")
-    def alike(x, y):
-        import pandas as pd
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
 
-        out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both >= least * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
+        def take(bucket: list[tuple]) -> None:
+            if len(bucket) > 1:
+                keys, fps = np.array([r[0] for r in bucket], np.int64), np.array([r[1] for r in bucket], np.int64).view(np.uint64)
+                sets = [np.frombuffer(r[2], np.uint32) for r in bucket]
+                small, large = sorted((len(sets[0]), len(sets[1])))
+                if len(bucket) > 2 or small >= least * large and np.bitwise_count(fps[0] ^ fps[1]) <= APART:
+                    out.append(keys[set_links(fps, sets, least)])
 
-    return met.select("a", "b", alike("x", "y").alias("alike"))
+        bucket, of = [], None
+        for part in parts:
+            for code, salt, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (code, salt) != of:
+                    take(bucket)
+                    bucket, of = [], (code, salt)
+                bucket.append(row)
+            got = np.concatenate([np.empty((0, 2), np.int64), *out])
+            out.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=_OUT)
+        take(bucket)
+        got = np.concatenate([np.empty((0, 2), np.int64), *out])
+        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=_OUT)
+
+    dealt = rows.select("code", "salt", "key", "fp", "hashes").repartition(common.parallelism(rows.sparkSession), "code", "salt").sortWithinPartitions("code", "salt")
+    return dealt.mapInArrow(search, "a long, b long")
 
 
 def similar(documents: DataFrame, shingle: int = 5, least: float = 0.8, split: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
@@ -473,46 +459,32 @@ def similar(documents: DataFrame, shingle: int = 5, least: float = 0.8, split: i
     sets of their word shingles have a similarity (common over all) of ``least`` or more, and grp is one number for all
     that links reach.
 
-    Fingerprints of 64 bits differ in about 10 bits at that similarity, too many for buckets of equal bits, so candidates
-    share a band of minima of their shingles' hashes; sizes, fingerprints and the minima themselves discard most, and the
-    sets, of hashes of 32 bits, decide about the rest. Each member of a bucket is first compared with its nearest and with the plausible member nearest to the bucket's
-    middle, which joins crowds of near copies in a few rounds; then every plausible pair that is still of different groups is. Texts
-    with one set of shingles are one node, so copies never meet. A bucket above ``split`` nodes is dealt over tasks: in
-    the first rounds by lots, in the last one the nodes outside its largest group meet all its parts.
+    Fingerprints of 64 bits differ in about 10 bits at that similarity, too many for buckets of equal bits, so buckets are
+    bands of minima of the shingles' hashes. Of buckets with the same members one is searched, through a pivot distance
+    table over the sets, which are hashes of 32 bits (``set_links``). Texts with one set of shingles are one node, so
+    copies never meet. A bucket of a load above ``split`` is dealt over tasks: first by lots, and then the nodes outside its
+    largest group meet all its parts.
     """
     spark = documents.sparkSession
     path = common.shared_dir(spark)
     rows = sketched(documents, shingle, f"{path}/sketched")
-    nodes = rows.groupBy("same").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    nodes = rows.groupBy("same").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = common.materialise(nodes, f"{path}/nodes")
-    each = nodes.select("key", "n", "fp", "low", F.posexplode("bands").alias("band", "code"))
-    sizes = each.groupBy("band", "code").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = common.materialise(each.join(sizes, ["band", "code"]), f"{path}/buckets")
-    tested = links_ = None
-    groups = nodes.select("key", F.col("key").alias("comp"))
-    for k in range(4):
-        every = k == 3
-        open_ = buckets.join(groups, "key")
-        open_ = open_.join(open_.groupBy("band", "code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "code"), ["band", "code"]) if k else open_
-        pairs = bucket_pairs(_dealt(open_, split, every, k), least, every)
-        if not k:
-            # Whoever has a plausible partner proposes one now, so these are all nodes whose sets are ever asked for, but
-            # for those that met a part of their bucket only.
-            pairs = common.materialise(pairs, f"{path}/pairs")
-            wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-            wanted = wanted.unionByName(buckets.where(F.col("size") > split).select("key")).distinct()
-            sets = _sets_of(rows, common.materialise(wanted, f"{path}/wanted"), shingle, f"{path}/sets")
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        told = common.materialise(verified(pairs, sets, least), f"{path}/tested-{k}")
-        if told.isEmpty():
-            if every or not k:
-                break
-            continue
-        tested = told if tested is None else tested.unionByName(told)
-        good = told.where("alike").select("a", "b")
-        links_ = good if links_ is None else links_.unionByName(good)
-        stars = common.materialise(star_components(links_, f"{path}/round-{k}"), f"{path}/groups-{k}")
+    all_ = Window.partitionBy("code")
+    each = nodes.select("key", "n", F.explode("bands").alias("code"))
+    each = each.select("code", "key", F.count(F.lit(1)).over(all_).alias("members"), F.sum("n").over(all_).alias("n"), F.bit_xor(F.xxhash64("key")).over(all_).alias("who")).where("members > 1")
+    each = common.materialise(each, f"{path}/shared")
+    once = each.groupBy("members", "n", "who").agg(F.min("code").alias("code")).select("code")
+    size = F.greatest("members", F.ceil(F.col("n") / LOAD)).alias("size")
+    buckets = common.materialise(each.join(once, "code", "left_semi").select("code", "key", size), f"{path}/buckets")
+    sets = _sets_of(rows, common.materialise(buckets.select("key").distinct(), f"{path}/wanted"), shingle, f"{path}/sets")
+    found = common.materialise(bucket_forests(_dealt(buckets, split).join(sets, "key"), least), f"{path}/found")
+    stars = common.materialise(star_components(found, f"{path}/first"), f"{path}/stars")
+    groups = nodes.select("key").join(stars, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("comp"))
+    hot = buckets.where(F.col("size") > split)
+    if not hot.isEmpty():
+        more = common.materialise(bucket_forests(_rest(hot.join(groups, "key"), split).join(sets, "key"), least), f"{path}/more")
+        stars = common.materialise(star_components(found.unionByName(more), f"{path}/last"), f"{path}/all-stars")
         groups = nodes.select("key").join(stars, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("comp"))
     named = nodes.select("same", "key").join(groups, "key").select("same", F.col("comp").alias("grp"))
     told = common.salted_lookup(rows.select("key", "id", "same"), named, "same", f"{path}/named", by="key")
@@ -520,7 +492,7 @@ def similar(documents: DataFrame, shingle: int = 5, least: float = 0.8, split: i
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
-    """key and hashes (the sorted set of shingles, four bytes each) of the wanted nodes."""
+    """key, fp and hashes (the sorted set of shingles, four bytes each) of the wanted nodes."""
 
     @F.pandas_udf("binary")
     def hashes(text):
@@ -528,26 +500,30 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, shingle: int, path: str) -> Dat
 
         return pd.Series([np.unique(shingle_set(t if isinstance(t, str) else None, shingle).astype(np.uint32)).tobytes() for t in text])
 
-    texts = rows.select("key", F.col("row.text").cast("string").alias("text"))
+    texts = rows.select("key", "fp", F.col("row.text").cast("string").alias("text"))
     texts = texts.where(common.filter_of(wanted, "key")(F.col("key"))).join(wanted, "key", "left_semi")
-    return common.materialise(texts.select("key", hashes("text").alias("hashes")), path)
+    return common.materialise(texts.select("key", "fp", hashes("text").alias("hashes")), path)
 
 
-def _dealt(rows: DataFrame, split: int, every: bool, lot: int) -> DataFrame:
-    """Bucket rows with ``salt``: 0 but in buckets above ``split``."""
-    hot = rows.where(F.col("size") > split)
-    rest = rows.where(F.col("size") <= split).withColumn("salt", F.lit(0))
-    if hot.isEmpty():
-        return rest
+def _lot(split: int) -> tuple[Column, Column]:
+    """How many parts a bucket is dealt over, and whose part a member is in."""
     parts = F.ceil(F.col("size") / split).cast("int")
-    own = F.pmod(F.xxhash64("key", F.lit(lot)), parts).cast("int")
-    if not every:
-        return rest.unionByName(hot.withColumn("salt", own))
-    counts = hot.groupBy("band", "code", "comp").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.groupBy("band", "code").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-    met = hot.join(top, ["band", "code"])
+    return parts, F.pmod(F.xxhash64("key", F.lit(0)), parts).cast("int")
+
+
+def _dealt(rows: DataFrame, split: int) -> DataFrame:
+    """Bucket rows with ``salt``: 0 but in buckets above ``split``, which are dealt by lots."""
+    return rows.withColumn("salt", F.when(F.col("size") > split, _lot(split)[1]).otherwise(0))
+
+
+def _rest(hot: DataFrame, split: int) -> DataFrame:
+    """Rows of dealt buckets whose members (of groups comp) are not yet all of one group: those of a bucket's largest
+    group once, in their own part, and the others in each part."""
+    counts = hot.groupBy("code", "comp").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.groupBy("code").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    parts, own = _lot(split)
     salts = F.when(F.col("comp") == F.col("top"), F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
-    return rest.unionByName(met.withColumn("salt", F.explode(salts)).drop("top"))
+    return hot.join(top, "code").withColumn("salt", F.explode(salts)).drop("top", "groups", "comp")
 
 
 def one_of_each(documents: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -202,6 +202,21 @@ def test_similar_texts_equal_brute_force(spark, split):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_a_crowd_gives_a_forest_of_its_links():
+    """A bucket of more members than pivots, of which many link: no more links than members, and they reach what all reach."""
+    texts = [t for seed in (5, 6) for t in crowd(seed) if t and len(t.split()) > 20]
+    sets = [np.unique(simhash.shingle_hashes(t, 5).astype(np.uint32)) for t in texts]
+    fps = np.array([simhash.fingerprint(simhash.shingle_hashes(t, 5)) for t in texts], np.uint64)
+    assert len(texts) > 3 * simhash.PIVOTS
+    got = simhash.set_links(fps, sets, 0.8)
+    want = brute_groups(texts)
+    assert len(got) == len(texts) - len(set(want))
+    _, parent = simhash.forest(len(texts), got[:, 0], got[:, 1])
+    while not (parent[parent] == parent).all():
+        parent = parent[parent]
+    assert parent.tolist() == want
+
+
 def test_one_of_each_keeps_the_smallest_id(spark):
     texts = crowd(3)
     pairs = [(None if i % 9 == 0 else 1000 - i, t) for i, t in enumerate(texts)] * 2
