@@ -128,6 +128,23 @@ def filter_of(keys: DataFrame, key: str):
     return passes
 
 
+def without(rows: DataFrame, gone: DataFrame, path: str, *key: str) -> DataFrame:
+    """``rows`` without those whose key is in ``gone``, which is read several times, as the keys of ``rows`` are.
+
+    Only keys are met; a row is moved only if two filters are in doubt about it. One is over the keys to drop, the other
+    over the keys to keep that the first takes for them, so a row that passes the first alone goes. Rows that pass both
+    meet the keys to drop: few while there is room in the filters, and beyond that more of them, with the same result.
+    """
+    word = F.xxhash64(*key)
+    hit = filter_of(gone.select(word.alias("k")).distinct(), "k")(word)
+    alike = materialise(rows.select(*key).where(hit).join(gone, list(key), "left_anti"), path)
+    sure = rows.where(~hit)
+    if alike.isEmpty():
+        return sure
+    doubt = filter_of(alike.select(word.alias("k")).distinct(), "k")(word)
+    return sure.unionByName(rows.where(hit & doubt).join(gone, list(key), "left_anti").select(*rows.columns))
+
+
 # --- tokenizing -------------------------------------------------------------------------------------------------
 
 #: Characters whose classes (letter, digit, white space) no version of Unicode disputes. Texts with others take the

@@ -161,17 +161,17 @@ class LsmIndex:
         if hits.isEmpty():
             return None
         reps = common.materialise(self.entries(runs).join(hits.select("digest"), "digest", "left_semi"), f"{self.path}/representatives")
-        # The representatives' texts are read again, picked by their ids before they are normalised, and met by digest.
+        # The representatives' texts are read again, picked by their ids before they are normalised.
+        # A text too many does no harm: one that differs from others of its digest is a representative itself.
         passes = common.filter_of(reps.select("id").distinct(), "id")
         texts = documents.select(common.order_id("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where(passes(F.col("id")))
         texts = texts.select("id", normalised(F.col("text")).alias("norm")).withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("digest", F.substring("sha", 1, self.digest_bytes))
-        seen = texts.join(reps.select("id", "digest").distinct(), ["id", "digest"], "left_semi")
-        wrong = common.materialise(seen.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differ")).where("differ").select("digest"), f"{self.path}/collisions")
+        wrong = common.materialise(texts.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differ")).where("differ").select("digest"), f"{self.path}/collisions")
         alike = reps.select(*KEY).join(hits, "digest")
         if wrong.isEmpty():
             return alike
         # Different texts under one digest: their classes are by the text itself.
-        named = reps.join(wrong, "digest", "left_semi").join(seen.select("id", "sha", "norm").distinct(), ["id", "sha"])
+        named = reps.join(wrong, "digest", "left_semi").join(texts.select("id", "sha", "norm").distinct(), ["id", "sha"])
         apart = named.select(*KEY, "norm").join(self.merge(named, "norm").drop("entries"), "norm").drop("norm")
         return alike.join(wrong, "digest", "left_anti").unionByName(apart.select(*alike.columns))
 
@@ -240,13 +240,18 @@ def exact_dedup(documents: DataFrame, digest_bytes: int = 32, **limits) -> DataF
 def distinct_documents(documents: DataFrame, **limits) -> DataFrame:
     """The documents that ``exact_dedup`` keeps, one of each group of equal texts, with their own columns.
 
-    The runs hold the whole rows of their first texts, so the table is read once, and only rows whose text another run
-    has, too, are shuffled.
+    The runs hold the whole rows of their first texts. Only keys of those whose text another run has, too, are shuffled,
+    and the texts of these for the comparison.
     """
     index = LsmIndex(documents.sparkSession, **limits)
     runs = index.ingest(documents, whole=True)
     firsts = runs.where("first")
-    return index.resolved(documents, firsts, index.compact(runs)).where("kept").select("row.*")
+    classes = index.shared_classes(documents, runs, index.compact(runs))
+    if classes is None:
+        return firsts.select("row.*")
+    gone = classes.where((F.col("run") != F.col("keep.run")) | (F.col("variant") != F.col("keep.variant"))).select(*KEY)
+    gone = common.materialise(gone, f"{index.path}/gone")
+    return common.without(firsts.select(*KEY, "row"), gone, f"{index.path}/alike", *KEY).select("row.*")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

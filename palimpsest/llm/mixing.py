@@ -24,8 +24,11 @@ from collections import deque
 from itertools import cycle
 
 import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm import common
 
@@ -33,6 +36,8 @@ BLOCK, MOST, WEIGHTS, SEED, NEAR = 4096, 3.0, (1, 2, 3), 9, 0.01
 _EPS = 1e-9
 #: Sources whose targets are broadcast; of more, the join is left to Spark.
 MOST_SOURCES = 100_000
+#: Rows of a table in files whose copies are handed out by place (a byte each); of more, the rows meet their copies.
+MOST_PLACED = 1 << 25
 #: Rows that one row becomes in one go.
 REPEATS = 1 << 16
 
@@ -214,11 +219,49 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     return each.select(F.nullif("doc_id", F.lit(common.LAST_ID)).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+#: Bits of the numbers of rows of a file that share an array of copies.
+_CHUNK = 16
+
+
+@F.pandas_udf(T.ArrayType(T.ByteType()))
+def _by_place(at: pd.Series, times: pd.Series) -> list:
+    out = np.full(int(at.max()) + 1, -1, np.int8)
+    out[at.to_numpy()] = times.to_numpy()
+    return out.tolist()
+
+
+def with_copies(documents: DataFrame, by_id: DataFrame, due: str, path: str) -> DataFrame | None:
+    """The documents with a column ``due``: how often each is taken, or -1 where ids don't tell. None if the rows come
+    from no files that number them. ``by_id`` has doc_id, source, total and rows, and is met without the texts.
+
+    A row's place is its file and its number there. The copies of a file's rows are arrays, a byte a row, that go to every
+    task; so the texts stay where they are. Places that several rows have, and totals of over a byte, are -1.
+    """
+    try:
+        meta = documents.metadataColumn("_metadata")
+        number = meta.getField("row_index")
+        place, at = F.xxhash64(meta.getField("file_path"), F.shiftright(number, _CHUNK)), (number % (1 << _CHUNK)).cast("int")
+        names = documents.columns
+        near, spot, all_ = (common.fresh(c, [*names, due]) for c in ("place", "at", "times"))
+        rows = documents.select(*[common.own_column(c) for c in names], place.alias(near), at.alias(spot))
+    except AnalysisException:
+        return None
+    thin = rows.select(common.own_column("doc_id").cast("long").alias("doc_id"), common.own_column("source").cast("string").alias("source"), F.col(near).alias("place"), F.col(spot).alias("at"))
+    told = F.when((F.col("rows") == 1) & F.col("total").between(0, 127), F.col("total")).otherwise(-1)
+    met = thin.alias("d").join(by_id.alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.source <=> m.source")).select("place", "at", told.alias("times"))
+    single = met.groupBy("place", "at").agg(F.when(F.count(F.lit(1)) == 1, F.min("times")).otherwise(-1).cast("int").alias("times"))
+    arrays = common.materialise(single.groupBy("place").agg(_by_place("at", "times").alias("times")), path)
+    arrays = arrays.select(F.col("place").alias(near), F.col("times").alias(all_))
+    found = rows.join(F.broadcast(arrays), near)
+    return found.select(*[common.own_column(c) for c in names], F.get(all_, F.col(spot)).cast("long").alias(due))
+
+
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     """The documents, with their own columns, each as often as the mix takes it.
 
     Rows that share their doc_id and source (null ids do) have copies of their own. The mix tells them apart by size
-    only, so of those of one size the ones with the smallest hashes of their texts get the greater number.
+    only, so of those of one size the ones with the smallest hashes of their texts get the greater number. Of up to
+    ``MOST_PLACED`` documents in files only such rows are moved.
     """
     path = common.shared_dir(documents.sparkSession)
     copies = common.materialise(mix(documents, **how).select("doc_id", "source", "size", "copies"), f"{path}/copies")
@@ -226,9 +269,21 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     due, size, n = common.fresh("due", names), common.fresh("size", names), common.fresh("n", names)
     own = [common.own_column(c, "d") for c in names]
     by_id = copies.groupBy("doc_id", "source").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows"))
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        each = rows.where(F.col(due) > 0).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(due))).alias(n))
+        return each.select(*[common.own_column(c) for c in names])
+
+    out, told = None, with_copies(documents, by_id, due, f"{path}/places") if copies.count() <= MOST_PLACED else None
+    if told is not None:
+        out = repeated(told)
+        if documents.sparkSession.read.parquet(f"{path}/places").where("exists(times, x -> x < 0)").isEmpty():
+            return out
+        documents = told.where(F.col(due) < 0).select(*[common.own_column(c) for c in names])
     met = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("m.source"))
     single = documents.alias("d").join(by_id.where("rows = 1 AND total > 0").alias("m"), met)
-    out = single.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.total"))).alias(n)).select(*[common.own_column(c) for c in names])
+    single = repeated(single.select(*own, F.col("m.total").alias(due)))
+    out = single if out is None else out.unionByName(single)
     shared = common.materialise(by_id.where("rows > 1").select("doc_id", "source"), f"{path}/shared")
     if shared.isEmpty():
         return out
@@ -238,8 +293,7 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     rows = sized.alias("d").join(some.alias("m"), met & (common.own_column(size, "d") == F.col("m.size")))
     order = Window.partitionBy("m.doc_id", "m.source", "m.size").orderBy(F.xxhash64("d.text"), "d.text")
     each = F.expr("m.total div m.rows") + F.when(F.row_number().over(order) <= F.col("m.total") % F.col("m.rows"), 1).otherwise(0)
-    rows = rows.select(*own, each.cast("long").alias(due)).where(F.col(due) > 0)
-    return out.unionByName(rows.select(*[common.own_column(c) for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col(due))).alias(n)).select(*[common.own_column(c) for c in names]))
+    return out.unionByName(repeated(rows.select(*own, each.cast("long").alias(due))))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -501,7 +501,9 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, shingle: int, path: str) -> Dat
         return pd.Series([np.unique(shingle_set(t if isinstance(t, str) else None, shingle).astype(np.uint32)).tobytes() for t in text])
 
     texts = rows.select("key", "fp", F.col("row.text").cast("string").alias("text"))
-    texts = texts.where(common.filter_of(wanted, "key")(F.col("key"))).join(wanted, "key", "left_semi")
+    texts = texts.where(common.filter_of(wanted, "key")(F.col("key")))
+    if wanted.count() > common.FILTER_BITS // 8:  # the filter lets many others pass, whose sets would be made for nothing
+        texts = texts.join(wanted, "key", "left_semi")
     return common.materialise(texts.select("key", "fp", hashes("text").alias("hashes")), path)
 
 
@@ -538,10 +540,7 @@ def one_of_each(documents: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     first = told.groupBy("grp").agg(F.min(F.struct("id", "key")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("grp", F.col("f.key").alias("first"))
     gone = common.salted_lookup(told, first, "grp", f"{path}/first", by="key").where("key <> first").select("key")
     gone = common.materialise(gone, f"{path}/gone")
-    # Rows that a filter over the keys to drop lets pass aren't moved; the others meet the keys.
-    maybe = common.filter_of(gone, "key")(F.col("key"))
-    rows = rows.withColumn("maybe", maybe)
-    return rows.where("NOT maybe").select("row.*").unionByName(rows.where("maybe").join(gone, "key", "left_anti").select("row.*"))
+    return common.without(rows, gone, f"{path}/alike", "key").select("row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Exact and near dedup against brute force, on small tables with nulls, ties, long texts and clashing columns."""
 
+import collections
 import re
 import string
 
@@ -7,8 +8,9 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF, same
+from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, simhash
+from palimpsest.llm import common, exact_dedup, mixing, simhash
 from palimpsest.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string, copies string, run string, kept string"
@@ -247,3 +249,46 @@ def test_components_of_any_number_of_tasks(spark, tmp_path, links_a_task):
         parent[max(a, b)] = min(a, b)
     got = simhash.star_components(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}", links_a_task).collect()
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in parent if any(x in e and e[0] != e[1] for e in edges))
+
+
+def shuffled(spark):
+    """Bytes that this application has written to shuffles so far."""
+    told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.distinct_documents, simhash.one_of_each, mixing.mixed_documents])
+def test_texts_stay_where_they_are(spark, tmp_path, stage):
+    """Tables too large to be handed out meet by keys alone, so what is shuffled is a small part of the texts."""
+    lot = np.random.default_rng(4)
+    texts = [" ".join(lot.bytes(8).hex() for _ in range(1200)) for _ in range(240)]
+    texts[120:130] = texts[:10]
+    texts[130:140] = [t + " more" for t in texts[10:20]]
+    table = [(k, t, "ab"[k % 2]) for k, t in enumerate(texts)]
+    spark.createDataFrame(table, "doc_id long, text string, source string").repartition(4, "doc_id").write.parquet(f"{tmp_path}/d")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = [tuple(r) for r in stage(spark.read.parquet(f"{tmp_path}/d")).collect()]
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert set(got) <= set(table)
+    if stage is exact_dedup.distinct_documents:
+        assert sorted(got) == table[:120] + table[130:]
+    elif stage is simhash.one_of_each:
+        assert sorted(got) == table[:120] + table[140:]
+    else:
+        due = {r.doc_id: r.copies for r in mixing.mix(spark.read.parquet(f"{tmp_path}/d")).collect() if r.copies}
+        assert collections.Counter(r[0] for r in got) == due
+    assert moved < 0.3 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_rows_go_by_their_keys_whatever_the_filters_let_pass(spark, monkeypatch, tmp_path, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    rows = spark.range(3000).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    gone = spark.range(0, 3000, 7).select("id")
+    left = common.without(rows, gone, f"file://{tmp_path}/alike", "id")
+    assert sorted(tuple(r) for r in left.collect()) == [(k, f"t{k}") for k in range(3000) if k % 7]
