@@ -139,6 +139,16 @@ def test_a_vault_of_all_is_fanned_out_by_all_tasks(spark, monkeypatch, most):
     assert len(loads) > 1 and max(loads) < 2 * sum(loads) / len(loads)
 
 
+def test_what_is_fanned_out_takes_few_bytes_in_files(spark, tmp_path):
+    messages = spark.range(600).select(F.lit("v").alias("vault"), F.col("id").alias("device"), F.col("id").alias("value"))
+    subscribers = spark.range(5000).select(F.lit("v").alias("vault"), (F.col("id") * 7919).alias("subscriber"))
+    streams.fan_out(messages, subscribers).select("value", "subscriber").write.parquet(str(tmp_path / "told"))
+    told = spark.read.parquet(str(tmp_path / "told"))
+    n = 600 * 5000 - 1  # of the devices, only 0 follows
+    assert (told.count(), told.distinct().count()) == (n, n)
+    assert sum(f.stat().st_size for f in (tmp_path / "told").glob("*.parquet")) < n // 2
+
+
 def test_logs_and_frames_are_streamed(spark, tmp_path):
     batches = [[{"vault": "v", "device": "a", "value": "1"}, {"vault": "w", "device": "a", "value": "2"}], [{"vault": "v", "device": "b", "value": "3"}]]
     sent, subscribers = [], spark.createDataFrame([("v", "a"), ("v", "b"), ("w", "c")], "vault string, subscriber string")
